@@ -40,10 +40,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels.where(~held_out))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = langid.identify(docs, langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op7_toxicity_ordinal": op7_toxicity_ordinal,
     "op8_quality_rules": op8_quality_rules,
+    "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
 
 SQL: dict[str, str] = {}
