@@ -25,6 +25,13 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
+def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import simhash
+
+    found = simhash.group(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from elutra.llm import toxicity
 
@@ -51,6 +58,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
+    "op3_simhash_vptree": op3_simhash_vptree,
     "op7_toxicity_ordinal": op7_toxicity_ordinal,
     "op8_quality_rules": op8_quality_rules,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
