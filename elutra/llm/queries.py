@@ -47,6 +47,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels.where(~held_out))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_decontam_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from elutra.llm import langid
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op3_simhash_vptree": op3_simhash_vptree,
     "op7_toxicity_ordinal": op7_toxicity_ordinal,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontam_string_tiling": op9_decontam_string_tiling,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
 

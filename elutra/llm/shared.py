@@ -14,18 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where none is set, as in tests
-    on one machine, is a temporary folder used.
+    Only where none is set, as in tests on one machine, is a temporary folder made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (context.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,10 +6,15 @@ bounds each block's share of their distance from below, and as blocks don't over
 add up. So a search for y takes with it how many differing bits are left, and leaves a branch
 out as soon as they don't suffice to reach it. The upper levels of the tree deal fingerprints to
 shards; each is at home in one, and asks the other shards whose border it is close enough to.
+
+For a wide reach the bits are split into parts with a tree for each: of two fingerprints within
+``reach`` bits one part differs in at most reach // trees, so each tree searches that closely.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -19,8 +24,14 @@ from pyspark.sql import functions as F
 from elutra.llm.components import components
 from elutra.llm.shared import per_text, stable
 
-BITS = 3
-BLOCKS = [sum(1 << (i + 21 * k) for k in range(BITS)) for i in range(21)]  # bit 63 is in no block
+
+
+def blocks_of(tree: int, trees: int) -> list[int]:
+    """Masks of the blocks that a tree of ``trees`` uses: of three bits for one tree, else single bits."""
+    size, own = (3, 64) if trees == 1 else (1, 64 // trees)
+    return [((1 << size) - 1) << (tree * own + size * k) for k in range(own // size)]
+
+
 #: The upper tree is made from at most so many fingerprints, those with the smallest hashes.
 MAX_SAMPLE = 8192
 SHARD = 16_384
@@ -50,50 +61,56 @@ def _ones(hashes: list[int]) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.uint32)
 
 
-def fingerprint(text: Column, width: int = 3) -> Column:
-    """The 64-bit fingerprint as a long; 0 for null and for texts without words."""
+def fingerprint(text: Column, widths: tuple[int, ...] = (3,)) -> Column:
+    """Struct of 64-bit fingerprints fp0, fp1, ... as longs; 0 for null and for texts without words."""
+    names = [f"fp{i}" for i in range(len(widths))]
 
     def make():
-        return lambda value: (int(np.uint64(fingerprint_of(value, width)).astype(np.int64)),)
+        return lambda value: tuple(int(np.uint64(fingerprint_of(value, w)).astype(np.int64)) for w in widths)
 
-    return per_text(make, "fp long", ["fp"])(text)["fp"]
+    return per_text(make, ", ".join(f"{n} long" for n in names), names)(text)
 
 
-def build_tree(sample: np.ndarray, depth: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def build_tree(sample: np.ndarray, blocks: list[int], depth: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Vantage points and radii of a full binary tree; node k has the children 2k + 1 and 2k + 2.
 
     A fingerprint goes left if it differs in at most ``radius`` bits of the level's block.
     """
     rng = np.random.default_rng(seed)
-    points, radii = np.zeros(2**depth - 1, np.uint64), np.ones(2**depth - 1, np.int64)
+    points, radii = np.zeros(2**depth - 1, np.uint64), np.zeros(2**depth - 1, np.int64)
     node = np.zeros(len(sample), np.int64)
     for level in range(depth):
         for k in range(2**level - 1, 2 ** (level + 1) - 1):
             own = sample[node == k]
             if len(own):
                 points[k] = own[rng.integers(len(own))]
-                radii[k] = min(BITS - 1, int(np.median(_block(own, points[k], level))))
-        left = _block(sample, points[node], level) <= radii[node]
+                radii[k] = _radius(_block(own, points[k], blocks[level]), blocks[level])
+        left = _block(sample, points[node], blocks[level]) <= radii[node]
         node = 2 * node + np.where(left, 1, 2)
     return points, radii
 
 
-def _block(x: np.ndarray, point: np.ndarray, level: int) -> np.ndarray:
-    return np.bitwise_count((x ^ point) & np.uint64(BLOCKS[level])).astype(np.int64)
+def _radius(distances: np.ndarray, block: int) -> int:
+    """The median, or less if nothing would lie beyond it."""
+    return min(block.bit_count() - 1, int(np.median(distances)), max(0, int(distances.max()) - 1))
+
 
+def _block(x: np.ndarray, point: np.ndarray, block: int) -> np.ndarray:
+    return np.bitwise_count((x ^ point) & np.uint64(block)).astype(np.int64)
 
-def route(x: np.ndarray, points: np.ndarray, radii: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position in x, shard, bits left) of every visit; a fingerprint's home comes with all ``reach`` bits.
+
+def route(x: np.ndarray, blocks: list[int], points: np.ndarray, radii: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in x, shard, bits left) of every visit; at home a fingerprint has one bit more than ``reach``.
 
     Of two shards that could each ask the other only the one with the smaller number asks.
     """
     depth = (len(points) + 1).bit_length() - 1
     at, node, left_over, home = np.arange(len(x)), np.zeros(len(x), np.int64), np.full(len(x), reach), np.ones(len(x), bool)
     for level in range(depth):
-        d, r = _block(x[at], points[node], level), radii[node]
+        d, r = _block(x[at], points[node], blocks[level]), radii[node]
         inside = d <= r
         cost = np.where(inside, r + 1 - d, d - r)
-        other = np.flatnonzero((left_over >= cost) & (np.where(inside, r < BITS, True)))
+        other = np.flatnonzero(left_over >= cost)
         child = 2 * node + np.where(inside, 1, 2)
         far = 2 * node[other] + np.where(inside[other], 2, 1)
         at, node = np.concatenate([at, at[other]]), np.concatenate([child, far])
@@ -131,73 +148,115 @@ class Groups:
         self.label[x] = mine
 
 
-def search(x: np.ndarray, homes: np.ndarray, queries: np.ndarray, left_over: np.ndarray, reach: int, level: int, groups: Groups) -> None:
-    """Joins every query with the homes within ``reach`` bits, by a tree over the homes."""
+@dataclass(frozen=True)
+class Rule:
+    """Which fingerprints link: within ``reach`` bits, and the second ones within ``reach2``; and how they are sought."""
+
+    width: int = 3
+    reach: int = 3
+    trees: int = 1
+    width2: int | None = None
+    reach2: int = 0
+
+    def linked(self, x: np.ndarray, x2: np.ndarray | None, q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        close = np.bitwise_count(x[q][:, None] ^ x[h][None, :]) <= self.reach
+        at, to = np.nonzero(close)
+        if x2 is not None and len(at):
+            keep = np.bitwise_count(x2[q[at]] ^ x2[h[to]]) <= self.reach2
+            at, to = at[keep], to[keep]
+        keep = q[at] != h[to]
+        return at[keep], to[keep]
+
+
+def search(rule: Rule, x: np.ndarray, x2: np.ndarray | None, blocks: list[int], homes: np.ndarray, queries: np.ndarray, left_over: np.ndarray, level: int, groups: Groups) -> None:
+    """Joins every query with the homes it links to, by a tree over the homes."""
     if not len(homes) or not len(queries):
         return
-    if len(homes) * len(queries) <= 1 << 16 or len(homes) <= 64 or level >= len(BLOCKS):
+    if len(homes) * len(queries) <= 1 << 15 or len(homes) <= 32 or level >= len(blocks):
         step = max(1, (1 << 20) // len(homes))
         for lo in range(0, len(queries), step):
             own = queries[lo : lo + step]
-            d = np.bitwise_count(x[own][:, None] ^ x[homes][None, :])
-            q, h = np.nonzero((d <= reach) & (own[:, None] != homes[None, :]))
+            q, h = rule.linked(x, x2, own, homes)
             if len(q):
-                cuts = np.flatnonzero(np.diff(q)) + 1
-                for part in np.split(np.arange(len(q)), cuts):
+                for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
                     groups.join(int(own[q[part[0]]]), homes[h[part]])
         return
-    point = x[homes[len(homes) // 2]]
-    d = _block(x[homes], point, level)
-    r = min(BITS - 1, int(np.median(d)))
-    if (d <= r).all() and r:
-        r -= 1
-    dq = _block(x[queries], point, level)
+    point, block = x[homes[len(homes) // 2]], blocks[level]
+    d, dq = _block(x[homes], point, block), _block(x[queries], point, block)
+    r = _radius(d, block)
     for own, cost in ((d <= r, np.maximum(0, dq - r)), (d > r, np.maximum(0, r + 1 - dq))):
         go = cost <= left_over
-        search(x, homes[own], queries[go], (left_over - cost)[go], reach, level + 1, groups)
+        search(rule, x, x2, blocks, homes[own], queries[go], (left_over - cost)[go], level + 1, groups)
 
 
-def links(fps: DataFrame, n: int, reach: int = 3, shard: int = SHARD, sample: int = MAX_SAMPLE) -> DataFrame:
-    """Links (a, b) that join distinct fingerprints ``fps`` (fp) to the same groups as all pairs within ``reach`` bits do."""
-    picked = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
+def links(nodes: DataFrame, n: int, rule: Rule, shard: int = SHARD, sample: int = MAX_SAMPLE) -> DataFrame:
+    """Links (a, b) that join the ``nodes`` (node, fp0, fp1) to the same groups as all links do. No pairs are emitted
+    beyond those that first join two groups within a shard."""
+    picked = np.array([r["fp0"] for r in nodes.select("fp0").orderBy(F.xxhash64("fp0")).limit(sample).collect()], np.int64).view(np.uint64)
     depth = min(12, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
-    points, radii = build_tree(picked, depth)
+    near = rule.reach // rule.trees
+    all_blocks = [blocks_of(t, rule.trees) for t in range(rule.trees)]
+    upper = [build_tree(picked, blocks, depth) for blocks in all_blocks]
+    second = rule.width2 is not None
 
     def visits(frames):
         for frame in frames:
-            x = frame["fp"].to_numpy(np.int64).view(np.uint64)
-            at, node, left_over = route(x, points, radii, reach)
-            yield pd.DataFrame({"shard": node, "fp": x[at].view(np.int64), "left_over": left_over.astype(np.int32)})
+            x = frame["fp0"].to_numpy(np.int64).view(np.uint64)
+            for t, (points, radii) in enumerate(upper):
+                at, node, left_over = route(x, all_blocks[t], points, radii, near)
+                yield frame.iloc[at].assign(tree=np.int32(t), shard=node, left_over=left_over.astype(np.int32))
 
     def within(key, frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        left_over = frame["left_over"].to_numpy()
-        homes = np.flatnonzero(left_over > reach)
+        x = frame["fp0"].to_numpy(np.int64).view(np.uint64)
+        x2 = frame["fp1"].to_numpy(np.int64).view(np.uint64) if second else None
+        left_over, node = frame["left_over"].to_numpy(), frame["node"].to_numpy(np.int64)
         groups = Groups(len(x))
-        search(x, homes, np.arange(len(x)), np.minimum(left_over, reach), reach, depth, groups)
+        search(rule, x, x2, all_blocks[key[0]], np.flatnonzero(left_over > near), np.arange(len(x)), np.minimum(left_over, near), depth, groups)
         found = np.array(groups.links, np.int64).reshape(-1, 2)
-        y = x.view(np.int64)
-        return pd.DataFrame({"a": y[found[:, 0]], "b": y[found[:, 1]]})
+        return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    spread = fps.mapInPandas(visits, "shard long, fp long, left_over int")
-    return spread.groupBy("shard").applyInPandas(within, "a long, b long")
+    spread = nodes.select("node", "fp0", "fp1").mapInPandas(visits, "node long, fp0 long, fp1 long, tree int, shard long, left_over int")
+    return spread.groupBy("tree", "shard").applyInPandas(within, "a long, b long")
 
 
-def group(docs: DataFrame, width: int = 3, reach: int = 3) -> DataFrame:
+def group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, fp (long) and component_id for every row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id that can be reached over links of at most ``reach``
-    differing bits. Equal fingerprints are one node, so a group of copies costs one row in the
-    search. Null and empty texts have fingerprint 0, linked like any other. A null doc_id gets
-    its group's smallest doc_id, or null in a group without any. An empty table stays empty.
+    component_id is the smallest doc_id that can be reached over the rule's links. Rows of equal
+    fingerprints are one node, so a group of copies costs one row in the search. Null and empty
+    texts have fingerprint 0, linked like any other. A null doc_id gets its group's smallest
+    doc_id, or null in a group without any; with second fingerprints, a group of equal ones
+    without any doc_id stays apart. An empty table stays empty.
+    """
+    second = rule.width2 is not None
+    x = docs.select("doc_id", fingerprint(F.col("text"), (rule.width, rule.width2) if second else (rule.width,)).alias("x"))
+    of_docs = stable(x.select("doc_id", "x.fp0", (F.col("x.fp1") if second else F.lit(0).cast("long")).alias("fp1")))
+    nodes = of_docs.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("first"))
+    nodes = stable(nodes.withColumn("node", F.col("first") if second else F.col("fp0")))
+    found = components(links(nodes.where("node is not null"), nodes.count(), rule))
+    small = found.join(nodes, "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    of_node = found.join(small, "component").select("node", "component_id")
+    known = stable(nodes.join(of_node, "node", "left").select("fp0", "fp1", F.coalesce("component_id", "first").alias("component_id")))
+    return of_docs.join(known, ["fp0", "fp1"]).select("doc_id", F.col("fp0").alias("fp"), "component_id")
+
+
+#: Near copies of whole documents: fingerprints of three words to find them, of five to confirm a similarity of about 0.8.
+NEAR_COPIES = Rule(width=3, reach=10, trees=3, width2=5, reach2=16)
+
+
+def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group.
+
+    Rows that share a doc_id are one document, of which one row stays. Rows without doc_id stay.
     """
-    of_docs = stable(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
-    nodes = stable(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("fp"), nodes.count(), reach))
-    small = found.join(nodes, found["node"] == nodes["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = found.join(small, "component").select(F.col("node").alias("fp"), "component_id")
-    known = stable(nodes.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
-    return of_docs.join(known, "fp").select("doc_id", "fp", "component_id")
+    found = group(docs, rule).where("doc_id is not null")
+    found = stable(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again)
 
 
 def hexadecimal(fp: Column) -> Column:
