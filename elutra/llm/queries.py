@@ -32,6 +32,18 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import token_files
+
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
+def op6_embedding_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import embed_dedup
+
+    return embed_dedup.group(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from elutra.llm import toxicity
 
@@ -65,6 +77,8 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_simhash_vptree": op3_simhash_vptree,
+    "op5_arrow_token_files": op5_arrow_token_files,
+    "op6_embedding_rp_forest": op6_embedding_rp_forest,
     "op7_toxicity_ordinal": op7_toxicity_ordinal,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontam_string_tiling": op9_decontam_string_tiling,
