@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(folder, name) if folder else importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import html_text
+
+    return html_text.pages_text(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -32,6 +38,13 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import licenses
+
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.to_json("spans"))
+
+
 def op5_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from elutra.llm import token_files
 
@@ -75,8 +88,10 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_layout_text": op1_html_layout_text,
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_simhash_vptree": op3_simhash_vptree,
+    "op4_license_templates": op4_license_templates,
     "op5_arrow_token_files": op5_arrow_token_files,
     "op6_embedding_rp_forest": op6_embedding_rp_forest,
     "op7_toxicity_ordinal": op7_toxicity_ordinal,
