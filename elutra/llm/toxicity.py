@@ -16,15 +16,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from elutra.llm.shared import per_text
+from elutra.llm.shared import per_text, stable
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Besides itself, a word counts by its beginning of so many letters, marked "^".
 STEMS = (5, 7)
 #: Of the labelled rows, how many the fit takes at most: of toxic rows and of others.
 MAX_TOXIC, MAX_OTHER = 1500, 3000
-#: Words found in fewer rows of that sample are no features.
-MIN_ROWS = 6
+#: Words found in fewer rows of that sample are no features, and of the rest so many at most are.
+MIN_ROWS, MAX_FEATURES = 6, 2000
 
 
 def count_features(text: str, known: dict[str, float] | None = None) -> Counter:
@@ -52,20 +52,19 @@ class Model:
         return float(above.sum()), float(above[0]), worst
 
 
-def _fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, n_features: int, n_grades: int, weight: np.ndarray, l1: float, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+def _fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, n_features: int, n_grades: int, l1: float, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Proximal gradient with momentum on the likelihood of ordered grades; weights are shrunk to zero by ``l1``."""
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     value = np.concatenate(counts) if rows else np.zeros(0)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at_least = (grade[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
     w, first, gaps = np.zeros(n_features), 2.0, np.zeros(n_grades - 2)
-    scale = weight / weight.sum()
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros(n_grades - 1), np.zeros(n_grades - 1)
     for step in range(1, steps + 1):
         theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         eta = np.bincount(of, value * w[index], minlength=len(rows))
         above = 1 / (1 + np.exp(np.clip(theta[None, :] - eta[:, None], -60, 60)))
-        off = (above - at_least) * scale[:, None]  # of the sum of the thresholds' log losses
+        off = (above - at_least) / len(rows)  # of the sum of the thresholds' log losses
         gw = np.bincount(index, value * off.sum(1)[of], minlength=n_features)
         gt = -off.sum(0)
         g = np.concatenate([[gt.sum()], np.exp(gaps) * np.cumsum(gt[::-1])[::-1][1:]])
@@ -89,44 +88,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = asked.where("toxic = 1").orderBy(*order).limit(max_toxic).union(asked.where("toxic = 0").orderBy(*order).limit(max_other))
     texts = docs.where("text is not null").select("doc_id", "text")
-    rows = texts.join(F.broadcast(sample), "doc_id")  # at most max_toxic + max_other rows
-
-    def features():
+    rows = stable(texts.join(F.broadcast(sample), "doc_id"))  # at most max_toxic + max_other rows
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    nothing = Model({}, tuple(50.0 + k for k in range(n_grades - 1)))
+    if len(sizes) < 2:
+        return nothing
+
+    def kinds():
+        return lambda text: (list(count_features(text)),)
+
+    # The features that tell the classes apart best, by the log odds of rows with them over its error.
+    found = per_text(kinds, "x array<string>", ["x"])(F.col("text"))["x"]
+    each = rows.select("toxic", F.explode(found).alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    a, b, c, d = (x + 0.5 for x in (F.col("a"), F.col("b"), sizes[1] - F.col("a"), sizes[0] - F.col("b")))
+    z = F.abs(F.ln(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    best = each.where(F.col("a") + F.col("b") >= MIN_ROWS).orderBy(z.desc(), "feature").limit(MAX_FEATURES).select("feature")
+    words = {r["feature"]: i for i, r in enumerate(sorted(best.collect()))}
+    if not words:
+        return nothing
+
+    def counted():
         def one(text: str) -> tuple:
-            found = count_features(text)
-            return list(found), list(found.values())
+            n = count_features(text, words)
+            return [words[x] for x in n], list(n.values())
 
         return one
 
-    found = per_text(features, "words array<string>, n array<int>", ["words", "n"])(F.col("text"))
-    # Words of too few rows go before anything reaches the driver.
-    each = rows.select("doc_id", "toxic", found.alias("x")).select("doc_id", "toxic", F.explode(F.arrays_zip("x.words", "x.n")).alias("f")).groupBy("doc_id", "toxic", F.col("f.words").alias("word")).agg(F.max("f.n").alias("n"))
-    each = each.withColumn("in_rows", F.count("*").over(_by("word"))).where(F.col("in_rows") >= MIN_ROWS)
-    got = each.orderBy("doc_id", "word").select("doc_id", "toxic", "word", "n").toPandas()
-    grade = got.groupby("doc_id")["toxic"].max() if len(got) else got["toxic"]
-    if len(got) == 0 or grade.nunique() < 2:
-        return Model({}, tuple(50.0 + k for k in range(n_grades - 1)))
-    words = {w: i for i, w in enumerate(sorted(set(got["word"])))}
-    parts = got.groupby("doc_id", sort=True)
-    index = [np.array([words[w] for w in p["word"]], np.int64) for _, p in parts]
-    value = [np.log1p(p["n"].to_numpy(float)) for _, p in parts]
-    toxic = grade.sort_index().to_numpy(int)
-    weight = np.where(toxic == 1, 0.5 / max(toxic.sum(), 1), 0.5 / max((1 - toxic).sum(), 1))
-    w, _ = _fit(index, value, toxic, len(words), 2, weight, l1)
+    counts = per_text(counted, "i array<int>, n array<int>", ["i", "n"])(F.col("text"))
+    got = rows.select("doc_id", "toxic", counts.alias("x")).select("doc_id", "toxic", "x.i", "x.n").toPandas().sort_values("doc_id", kind="stable")
+    index = [np.array(x, np.int64) for x in got["i"]]
+    value = [np.log1p(np.array(x, float)) for x in got["n"]]
+    toxic = got["toxic"].to_numpy(int)
+    w, _ = _fit(index, value, toxic, len(words), 2, l1)
     eta = np.array([v @ w[i] for i, v in zip(index, value, strict=True)])
     severe = toxic.copy()
     own = np.flatnonzero(toxic)
     severe[own[np.argsort(eta[own], kind="stable")]] = 1 + np.arange(len(own)) * (n_grades - 1) // max(len(own), 1)
-    w, theta = _fit(index, value, severe, len(words), n_grades, weight, l1)
+    w, theta = _fit(index, value, severe, len(words), n_grades, l1)
     return Model({x: float(w[i]) for x, i in words.items() if w[i] != 0}, tuple(float(t) for t in theta))
 
 
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
 def severity(text: Column, model: Model) -> Column:
     """Struct (expected_severity, p_toxic, words) of each text; null counts as empty."""
     return per_text(lambda: model.severity, "expected_severity double, p_toxic double, words array<string>", ["expected_severity", "p_toxic", "words"])(text)
