@@ -1,0 +1 @@
+"""The engine's inputs are finite tables; there are no streaming operators."""
