@@ -34,7 +34,7 @@ def blocks_of(tree: int, trees: int) -> list[int]:
 
 #: The upper tree is made from at most so many fingerprints, those with the smallest hashes.
 MAX_SAMPLE = 8192
-SHARD = 16_384
+SHARD = 131_072
 
 
 def fingerprint_of(text: str, width: int = 3) -> int:
