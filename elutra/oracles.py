@@ -125,8 +125,8 @@ SQL: dict[str, str] = {
       SELECT sample, round(0.9::DOUBLE * coalesce(nullif(least(sd, iq), 0), nullif(sd, 0), nullif(abs(f), 0), 1) * pow(n, -0.2::DOUBLE), 6) + 0.0 AS bw FROM b""",
     "error_table": f"WITH {SCORED}{PVAL}{QVAL} SELECT sample, cutoff, n::BIGINT AS n, {_r('pvalue')}, {_r('qvalue')} FROM et",
     "fdr_cutoff": f"WITH {SCORED}{PVAL}{QVAL} SELECT sample, arg_min(cutoff, (round(abs(qvalue - 0.1::DOUBLE), 9), cutoff)) AS cutoff FROM et GROUP BY 1",
-    "nearest_cutoff": f"""WITH {SCORED}{PVAL}{QVAL}, g AS (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS at), x AS (SELECT sample, at, arg_min((cutoff, pvalue, qvalue), (round(abs(cutoff - at), 9), cutoff)) AS r FROM et, g GROUP BY 1, 2)
-      SELECT sample, at, r[1] AS cutoff, round(r[2], 6) + 0.0 AS pvalue, round(r[3], 6) + 0.0 AS qvalue FROM x""",
+    "nearest_cutoff": f"""WITH {SCORED}{PVAL}{QVAL}, g AS (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS "at"), x AS (SELECT sample, "at", arg_min((cutoff, pvalue, qvalue), (round(abs(cutoff - "at"), 9), cutoff)) AS r FROM et, g GROUP BY 1, 2)
+      SELECT sample, "at", r[1] AS cutoff, round(r[2], 6) + 0.0 AS pvalue, round(r[3], 6) + 0.0 AS qvalue FROM x""",
     "fdr_curve": f"""WITH {SCORED}{PVAL}, c AS (SELECT sample, score, sum(nt) OVER w / nullif(sum(nt) OVER (PARTITION BY sample), 0) AS t, sum(nd) OVER w / nullif(sum(nd) OVER (PARTITION BY sample), 0) AS d FROM cnt
         WINDOW w AS (PARTITION BY sample ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       SELECT sample, score, {_r('t', 'target')}, {_r('d', 'decoy')}, round(coalesce(least(d / nullif(t, 0), 1), 1), 6) + 0.0 AS fdr FROM c""",
@@ -164,7 +164,7 @@ SQL: dict[str, str] = {
     "mcl_iterate": f"WITH {MAT}, {NORM.format('m')}, {EXPAND}, p AS (SELECT i, j, v * v AS v FROM xp) SELECT i, j, round(v / sum(v) OVER (PARTITION BY j), 6) + 0.0 AS v FROM p",
     "modularity": f"""WITH {EDGES}, {HEAVY.format(0.75)}, {SYM.format('heavy')}, t AS (SELECT sum(weight) AS t FROM sym),
       d AS (SELECT s_suppkey AS k, s_nationkey AS g, 2 * coalesce(sum(weight), 0) AS d FROM supplier LEFT JOIN sym ON src = s_suppkey GROUP BY 1, 2)
-      SELECT round(sum(coalesce(weight, 0) - a.d * b.d / t) / any_value(t), 6) + 0.0 AS q FROM d a JOIN d b ON a.g = b.g AND a.k <> b.k LEFT JOIN sym ON src = a.k AND dst = b.k, t""",
+      SELECT round(coalesce(sum(coalesce(weight, 0) - a.d * b.d / t) / any_value(t), 0), 6) + 0.0 AS q FROM d a JOIN d b ON a.g = b.g AND a.k <> b.k LEFT JOIN sym ON src = a.k AND dst = b.k, t""",
     "profile_network": f"""WITH {PROF}, enough AS (SELECT * FROM prof WHERE key IN (SELECT key FROM prof GROUP BY 1 HAVING count_if(v > 0) >= 2)), {GAP.format('enough')}, {GRID.format('gap')}, {SCALE.format('grid')},
       cor AS (SELECT x.key AS a, y.key AS b, corr(x.v, y.v) AS r FROM scale x JOIN scale y ON x.idx = y.idx AND x.key < y.key GROUP BY 1, 2), e AS (SELECT a, b, (r + 1) / 2 AS w FROM cor WHERE isfinite(r) AND r > 0.2)
       SELECT a AS prot_a, b AS prot_b, round(w, 6) + 0.0 AS comb_prob, CASE WHEN w > 0.9 THEN 'High' WHEN w > 0.75 THEN 'Medium' ELSE 'Low' END AS confidence FROM e""",

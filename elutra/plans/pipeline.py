@@ -24,7 +24,7 @@ def normalized(matrix: DataFrame, config: RunConfig) -> DataFrame:
     out = kept.select("key", p.normalize(F.col("vals"), config.points, sigma=config.smooth).alias("vals"))
     if not config.split_peaks:
         return out
-    part = out.select("key", F.explode(signal.split_peaks(F.col("vals"))).alias("x"))
+    part = signal.ready(out).select("key", F.explode(signal.split_peaks(F.col("vals"))).alias("x"))
     name = F.when(F.col("x.part").isNull(), F.col("key")).otherwise(F.concat("key", F.lit("_p_"), F.col("x.part").cast("string")))
     return part.select(name.alias("key"), F.col("x.vals").alias("vals"))
 

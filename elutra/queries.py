@@ -228,12 +228,14 @@ def argmax_by_group(spark, sf):
 
 @query
 def peak_picking(spark, sf):
-    return profiles(spark, sf).select("key", F.explode(signal.peaks(p.normalize(F.col("vals")))).alias("peak"))
+    x = profiles(spark, sf).select("key", p.normalize(F.col("vals")).alias("vals"))
+    return signal.ready(x).select("key", F.explode(signal.peaks(F.col("vals"))).alias("peak"))
 
 
 @query
 def peak_split(spark, sf):
-    x = profiles(spark, sf).select("key", F.explode(signal.split_peaks(p.normalize(F.col("vals")))).alias("x"))
+    x = profiles(spark, sf).select("key", p.normalize(F.col("vals")).alias("vals"))
+    x = signal.ready(x).select("key", F.explode(signal.split_peaks(F.col("vals"))).alias("x"))
     return x.select("key", "x.part", F.posexplode("x.vals").alias("idx", "v"))
 
 
@@ -383,7 +385,8 @@ def common_peak(spark, sf):
 
 @query
 def aligned_peaks(spark, sf):
-    x = vector_pairs(spark, sf).select("a", "b", signal.align_peaks(F.array(p.local_maxima(F.col("fa")), p.local_maxima(F.col("fb")))).alias("x"))
+    x = vector_pairs(spark, sf).select("a", "b", F.array(p.local_maxima(F.col("fa")), p.local_maxima(F.col("fb"))).alias("x"))
+    x = signal.ready(x, "a").select("a", "b", signal.align_peaks(F.col("x")).alias("x"))
     return x.select("a", "b", F.get("x", F.lit(0)).alias("peak_a"), F.get("x", F.lit(1)).alias("peak_b"))
 
 
