@@ -48,7 +48,7 @@ class Transducer:
     place there is one guess at most, as the encoding of the bytes before it is unique.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
@@ -160,30 +160,35 @@ class Transducer:
         return out
 
 
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern with white space spelled out, as libraries differ on what \\s is."""
+    return regex.compile(pattern.replace(r"\s\p", f"{SPACE}\\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+
+
 class Encoder:
     """encode(text) -> ids as little-endian unsigned 32-bit integers. Parts met before are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_parts: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_parts: int = 100_000, max_pieces: int = 150_000):
         self.transducer = Transducer(ranks)
-        self.split = regex.compile(pattern.replace(r"\s\p", f"{SPACE}\\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.max_parts = max_parts
+        self.split = splitter(pattern)
+        self.max_parts, self.max_pieces = max_parts, max_pieces
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _keep(self, known: dict[str, bytes], part: str, got: bytes) -> bytes:
+    def _keep(self, known: dict[str, bytes], most: int, part: str, got: bytes) -> bytes:
         if len(part) <= 64:
-            if len(known) >= self.max_parts:
+            if len(known) >= most:
                 known.clear()
             known[part] = got
         return got
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
-        return self._keep(self.pieces, piece, struct.pack(f"<{len(ids)}I", *ids))
+        return self._keep(self.pieces, self.max_pieces, piece, struct.pack(f"<{len(ids)}I", *ids))
 
     def _part(self, part: str) -> bytes:
         get = self.pieces.get
-        return self._keep(self.known, part, b"".join([get(p) or self._piece(p) for p in self.split.findall(part)]))
+        return self._keep(self.known, self.max_parts, part, b"".join([get(p) or self._piece(p) for p in self.split.findall(part)]))
 
     def encode(self, text: str) -> bytes:
         parts = PARTS.findall(text)

@@ -10,7 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts may be long: Python tasks get them in batches of 1,000 rows and 16 MB at most."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
