@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from elutra.llm import bpe, decontam, quality, simhash, toxicity
 from elutra.llm.queries import tokenizer_file
-from elutra.llm.shared import shared_folder, table
+from elutra.llm.shared import shared_folder, short_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents with a quality score under one half go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(quality.score_column(F.col("text"), model) >= 0.5)
+    return quality.keep_good(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near copies the document with the smallest doc_id stays."""
+    short_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -38,6 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: token ids, with digests of the ids and of the text that they decode to."""
     from public_tokenizers import PATTERN
 
+    short_batches(spark)
     return bpe.encode_and_decode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN, ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256"))
 
 

@@ -2,11 +2,13 @@
 
 Trees are grown on statistics of labelled texts; every path to a node is a rule, a conjunction
 of comparisons. A logistic regression with a lasso penalty weighs the rules and drops most. The
-rules left are compiled into one column expression, so that scoring runs without Python.
+rules left are compiled into one column expression over the statistics of a text.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -14,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from elutra.llm.shared import per_text, stable
+
 #: Of the labelled rows the fit takes at most so many, those with the smallest hashes of doc_id.
 MAX_ROWS = 20_000
 TREES, DEPTH, LASSO = 16, 3, 0.001
@@ -21,26 +25,39 @@ TREES, DEPTH, LASSO = 16, 3, 0.001
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", value) all hold
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of whole texts as column expressions. Null counts as empty; all are 0 for empty texts."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
-    words, lines = F.split(text, "[ \\n\\t\\r]+"), F.split(text, "\\n")
-    return {
-        "n_chars": F.length(text).cast("double"),
-        "n_words": F.size(words).cast("double"),
-        "word_length": n / F.size(words),
+NAMES = ["n_chars", "n_words", "word_length", "distinct_words", "distinct_lines", "line_length", "symbols", "capitals", "stops", "bangs", "digits"]
+#: ASCII characters by what they are counted as; letters beyond ASCII that are capitals.
+SYMBOLS, CAPITALS, STOPS, DIGITS = b"#$%&*+/<=>@[\\]^_`{|}~", bytes(range(65, 91)), b".,;:?", b"0123456789"
+WIDE_CAPITALS = re.compile("[\u00c0-\u00d6\u00d8-\u00de\u0391-\u03a9\u0410-\u042f]")
+
+
+def measure(text: str) -> tuple[float, ...]:
+    """The statistics NAMES of a whole text; those of an empty one are all 0."""
+    if not text:
+        return (0.0,) * len(NAMES)
+    data, n = text.encode("utf-8", "replace"), len(text)
+    count = lambda kind: len(data) - len(data.translate(None, kind))
+    words, lines = text.split(), text.split("\n")
+    capitals = count(CAPITALS) + (0 if text.isascii() else len(WIDE_CAPITALS.findall(text)))
+    return (
+        float(n),
+        float(len(words)),
+        n / max(len(words), 1),
         # Herdan's C: unlike a plain share, it hardly falls with the length of a text.
-        "distinct_words": F.log1p(F.size(F.array_distinct(words))) / F.log1p(F.size(words)),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
-        "line_length": n / F.size(lines),
-        "symbols": share("[^\\p{L}\\p{N}\\s.,;:!?'\"()-]"),
-        "capitals": share("\\p{Lu}"),
-        "stops": share("[.,;:?]"),
-        "bangs": share("!"),
-        "digits": share("\\p{N}"),
-    }
+        math.log1p(len(set(words))) / math.log1p(max(len(words), 1)),
+        len(set(lines)) / len(lines),
+        n / len(lines),
+        count(SYMBOLS) / n,
+        capitals / n,
+        count(STOPS) / n,
+        count(b"!") / n,
+        count(DIGITS) / n,
+    )
+
+
+def statistics(text: Column) -> Column:
+    """Struct of the statistics NAMES of each text, as doubles; null counts as empty."""
+    return per_text(lambda: measure, ", ".join(f"{n} double" for n in NAMES), NAMES)(text)
 
 
 @dataclass(frozen=True)
@@ -84,10 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lasso: flo
     """
     sample = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows
-    stats = statistics(F.col("text"))
-    names = list(stats)
-    # Rows in a fixed order and number of partitions, so that the same rows give the same model.
-    train = rows.select("doc_id", F.col("label").cast("double").alias("label"), F.array(*stats.values()).alias("stats")).repartition(4, "doc_id").sortWithinPartitions("doc_id", "stats").persist()
+    names = NAMES
+    x = rows.select("doc_id", F.col("label").cast("double").alias("label"), statistics(F.col("text")).alias("x"))
+    # Measured by all tasks that read texts; the few rows found are then fit in a few partitions.
+    found = stable(x.select("doc_id", "label", F.array(*[f"x.{n}" for n in names]).alias("stats")))
+    train = found.coalesce(4).sortWithinPartitions("doc_id", "stats").persist()
     try:
         seen = {r["label"] for r in train.select("label").distinct().collect()}
         if len(seen) < 2:
@@ -102,17 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lasso: flo
         train.unpersist()
 
 
-def score_column(text: Column, model: Model) -> Column:
-    return model.column(statistics(text))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= 0.5) for every row of ``docs``.
 
-    One narrow pass of built-in functions over whole texts. Repeated rows repeat, other columns
-    are ignored; empty and null texts get the score of statistics that are all 0 or 1.
+    One narrow pass: statistics of whole texts, and the rules as one expression over them.
+    Repeated rows repeat, other columns are ignored; null texts score as empty ones.
     """
-    stats = statistics(F.col("text"))
-    known = docs.select("doc_id", F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats"))
-    scored = known.select("doc_id", model.column({n: F.col(f"stats.{n}") for n in stats}).alias("score"))
+    known = docs.select("doc_id", statistics(F.col("text")).alias("stats"))
+    scored = known.select("doc_id", model.column({n: F.col(f"stats.{n}") for n in NAMES}).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    own = "_quality_statistics"
+    return docs.withColumn(own, statistics(F.col("text"))).where(model.column({n: F.col(f"{own}.{n}") for n in NAMES}) >= least).drop(own)
