@@ -46,9 +46,11 @@ def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
     from elutra.llm import token_files
 
-    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), PATTERN))
 
 
 def op6_embedding_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,11 @@ from a memory map without copying. Files follow one another in ascending order o
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,42 +22,64 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from elutra.llm.bpe import PARTS, splitter
 from elutra.llm.shared import shared_folder, stable
 
-#: The white space of Unicode.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The tokenizer never joins white space with text before it, so these parts can be encoded on their own.
-PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LENGTH, ROWS = 2048, 128
-MAX_PARTS = 250_000
+#: Parts and pieces of texts whose ids a task remembers at once.
+MAX_PARTS, MAX_PIECES = 100_000, 300_000
 
 
-class PartEncoder:
-    """ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library."""
+class BatchEncoder:
+    """ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    def __init__(self, path: str):
+    The library merges within matches of its split pattern only, so each piece is given to it
+    once and remembered; new pieces of a batch of texts go to it together.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        parts = PARTS.findall(text)
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > MAX_PARTS:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[part] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        return b"".join([known[p] for p in parts])
+        self.split = splitter(pattern).findall
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > MAX_PARTS:
+            self.parts.clear()
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
+        known, pieces = self.parts, self.pieces
+        cut = [PARTS.findall(text) for text in texts]
+        new = {p: self.split(p) for p in {p for parts in cut for p in parts if p not in known}}
+        unseen = list({x for own in new.values() for x in own if x not in pieces})
+        for x, got in zip(unseen, self.tokenizer.encode_batch(unseen, add_special_tokens=False), strict=True):
+            ids = got.ids
+            pieces[x] = struct.pack(f"<{len(ids)}I", *ids)
+        for p, own in new.items():
+            known[p] = b"".join([pieces[x] for x in own])
+        return [b"".join([known[p] for p in parts]) for parts in cut]
+
+
+def batches(rows: Iterable[tuple], most: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows (doc_id, text) in batches of about ``most`` characters; a longer text is one of its own."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> PartEncoder:
-    return PartEncoder(path)
+def encoder(path: str, pattern: str) -> BatchEncoder:
+    return BatchEncoder(path, pattern)
 
 
 def schema(length: int, kind: pa.DataType) -> pa.Schema:
@@ -155,7 +177,7 @@ class Reader:
                 yield row[0], row[1], self.ids(row[1], row[2])
 
 
-def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, vocabulary: int = 50_257) -> DataFrame:
+def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, vocabulary: int = 50_257) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) below ``folder`` and gives the list of files, which is kept.
 
     (path, first_doc_id, n_docs, n_tokens, start); start counts the ids of all files before.
@@ -170,16 +192,16 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2
     end = struct.pack("<I", end_id)
 
     def of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, writer, first, n = encoder(path), None, None, 0
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
-                doc_id = None if doc_id is pd.NA else int(doc_id)
-                if writer is None:
-                    files, at = fs.FileSystem.from_uri(folder)
-                    files.create_dir(at, recursive=True)
-                    uri = f"{folder}/{uuid.uuid4().hex}.arrow"
-                    writer, first = Writer(uri, length, kind), doc_id
-                writer.add(doc_id, np.frombuffer((coder.encode(text) if isinstance(text, str) else b"") + end, "<u4"))
+        coder, writer, first, n = encoder(path, pattern), None, None, 0
+        rows = ((None if i is pd.NA else int(i), t if isinstance(t, str) else "") for frame in frames for i, t in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True))
+        for batch in batches(rows):
+            if writer is None:
+                files, at = fs.FileSystem.from_uri(folder)
+                files.create_dir(at, recursive=True)
+                uri = f"{folder}/{uuid.uuid4().hex}.arrow"
+                writer, first = Writer(uri, length, kind), batch[0][0]
+            for (doc_id, _), data in zip(batch, coder.encode([t for _, t in batch]), strict=True):
+                writer.add(doc_id, np.frombuffer(data + end, "<u4"))
                 n += 1
         if writer is not None:
             writer.close()
