@@ -21,7 +21,7 @@ from elutra.llm.components import components
 from elutra.llm.shared import stable
 from elutra.llm.simhash import Groups
 
-TREES, LEAF = 4, 512
+TREES, LEAF = 4, 2048
 #: The trees are made from at most so many vectors, those with the smallest hashes.
 MAX_SAMPLE = 8192
 #: Vectors of a leaf or group in one task; larger ones are compared block by block in several.
@@ -92,12 +92,15 @@ def links(nodes: DataFrame, threshold: float, trees: int = TREES, leaf: int = LE
 
     def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            dims = frame["embedding"].map(len)
-            for (label, dim), own in frame.groupby(["label", dims]):
-                x = unit(own["embedding"])
+            dims = frame["embedding"].map(len).to_numpy()
+            found = [(np.zeros(0, np.int64), 0, 0)]
+            for (label, dim), own in frame.groupby(["label", dims]).indices.items():
+                x = unit(frame["embedding"].iloc[own])
                 for t, tree in enumerate(forests.get((label, dim), [0])):
-                    for number, rows in deal(tree, x, np.arange(len(x)), margin_of(threshold, dim)):
-                        yield own.iloc[rows].assign(dim=np.int32(dim), tree=np.int32(t), leaf=np.int32(number))
+                    found += [(own[rows], t, number) for number, rows in deal(tree, x, np.arange(len(x)), margin_of(threshold, dim))]
+            rows = np.concatenate([r for r, _, _ in found])
+            tree, leaf_of = (np.repeat(np.array([f[k] for f in found], np.int32), [len(f[0]) for f in found]) for k in (1, 2))
+            yield frame.iloc[rows].assign(dim=dims[rows].astype(np.int32), tree=tree, leaf=leaf_of)
 
     place = ["label", "dim", "tree", "leaf"]
     spread = nodes.select("node", "label", "embedding").mapInPandas(visits, f"node long, label int, embedding {nodes.schema['embedding'].dataType.simpleString()}, dim int, tree int, leaf int")
