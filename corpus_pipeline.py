@@ -25,7 +25,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies, linked by an exact similarity of 0.8 on five words, the document with the smallest doc_id stays."""
     short_batches(spark)
     return simhash.keep_one(docs)
 

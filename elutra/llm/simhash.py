@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from elutra.llm import near_copies
 from elutra.llm.components import components
 from elutra.llm.shared import per_text, stable
 
@@ -240,16 +241,18 @@ def group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return of_docs.join(known, ["fp0", "fp1"]).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
-#: Near copies of whole documents: fingerprints of three words to find them, of five to confirm a similarity of about 0.8.
+#: A rule of fingerprints alone for near copies of whole documents: an estimate of a similarity of 0.8 on five words, which
+#: loses some copies and links some documents well below it. keep_one() doesn't use it.
 NEAR_COPIES = Rule(width=3, reach=10, trees=3, width2=5, reach2=16)
 
 
-def keep_one(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group of near copies.
 
+    Groups are those of ``near_copies.group``: every link has an exact similarity of 0.8 at least on five words.
     Rows that share a doc_id are one document, of which one row stays. Rows without doc_id stay.
     """
-    found = group(docs, rule).where("doc_id is not null")
+    found = near_copies.group(docs)
     found = stable(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
     kept = docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     repeated = found.where("rows > 1").select("doc_id")
