@@ -4,6 +4,9 @@ P(severity <= k) = sigmoid(threshold_k - w.x): one weight vector, ordered thresh
 says only toxic or not, so grades are made from it: toxic rows are ranked by the weight of their
 words under a first two-grade fit and cut into thirds (mild, moderate, severe); other rows have
 grade 0. The expected severity is the sum over k of P(severity > k).
+
+The fit takes a bounded sample of each class. As it so sees another share of toxic rows than there
+is, its rows weigh as many labels as each stands for; p_toxic means the same for every number of labels.
 """
 
 from __future__ import annotations
@@ -52,19 +55,20 @@ class Model:
         return float(above.sum()), float(above[0]), worst
 
 
-def _fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, n_features: int, n_grades: int, l1: float, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
-    """Proximal gradient with momentum on the likelihood of ordered grades; weights are shrunk to zero by ``l1``."""
+def _fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, n_features: int, n_grades: int, l1: float, weight: np.ndarray, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Proximal gradient with momentum on the likelihood of ordered grades, of rows that count by ``weight``; weights of features are shrunk to zero by ``l1``."""
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     value = np.concatenate(counts) if rows else np.zeros(0)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at_least = (grade[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
+    share = weight / weight.sum()
     w, first, gaps = np.zeros(n_features), 2.0, np.zeros(n_grades - 2)
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros(n_grades - 1), np.zeros(n_grades - 1)
     for step in range(1, steps + 1):
         theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         eta = np.bincount(of, value * w[index], minlength=len(rows))
         above = 1 / (1 + np.exp(np.clip(theta[None, :] - eta[:, None], -60, 60)))
-        off = (above - at_least) / len(rows)  # of the sum of the thresholds' log losses
+        off = (above - at_least) * share[:, None]  # of the sum of the thresholds' log losses
         gw = np.bincount(index, value * off.sum(1)[of], minlength=n_features)
         gt = -off.sum(0)
         g = np.concatenate([[gt.sum()], np.exp(gaps) * np.cumsum(gt[::-1])[::-1][1:]])
@@ -90,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
     texts = docs.where("text is not null").select("doc_id", "text")
     rows = stable(texts.join(F.broadcast(sample), "doc_id"))  # at most max_toxic + max_other rows
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    asked_of = {r["toxic"]: r["n"] for r in asked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nothing = Model({}, tuple(50.0 + k for k in range(n_grades - 1)))
     if len(sizes) < 2:
         return nothing
@@ -119,12 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
     index = [np.array(x, np.int64) for x in got["i"]]
     value = [np.log1p(np.array(x, float)) for x in got["n"]]
     toxic = got["toxic"].to_numpy(int)
-    w, _ = _fit(index, value, toxic, len(words), 2, l1)
+    # How many labels a row of the sample stands for: 1 for a class under its limit.
+    stands_for = [max(1.0, asked_of[k] / most) for k, most in ((0, max_other), (1, max_toxic))]
+    weight = np.array(stands_for)[toxic]
+    w, _ = _fit(index, value, toxic, len(words), 2, l1, weight)
     eta = np.array([v @ w[i] for i, v in zip(index, value, strict=True)])
     severe = toxic.copy()
     own = np.flatnonzero(toxic)
     severe[own[np.argsort(eta[own], kind="stable")]] = 1 + np.arange(len(own)) * (n_grades - 1) // max(len(own), 1)
-    w, theta = _fit(index, value, severe, len(words), n_grades, l1)
+    w, theta = _fit(index, value, severe, len(words), n_grades, l1, weight)
     return Model({x: float(w[i]) for x, i in words.items() if w[i] != 0}, tuple(float(t) for t in theta))
 
 
