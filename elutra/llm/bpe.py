@@ -15,7 +15,7 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,13 +23,42 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from elutra.llm.shared import per_text
+from elutra.llm.shared import per_batch
 
 #: The white space of Unicode, as the pattern's \s means it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Every match of the pattern that holds white space after other text begins with that white space,
 #: so texts can be cut before each run of white space and the parts split on their own.
 PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A blank within or at the end of a run of white space. Before every other blank a text may be cut as well.
+INNER_BLANK = re.compile(f" (?=[{SPACE}]|\\Z)(?<=[{SPACE}] )")
+#: How words begin that may stand after an inner blank: with white space, or not at all.
+ODD_BEGINS = frozenset(["", *re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001))))])
+#: Words whose ids a task remembers.
+MAX_WORDS = 150_000
+
+
+class Recent:
+    """Bytes of strings met lately. When ``most`` are new, those not asked for since the last such time are forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: Iterable[str]) -> list[str]:
+        """Which of ``asked`` aren't held; those that are stay until the next call."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for x in asked:
+            if x not in new:
+                got = old.get(x)
+                if got is None:
+                    out.append(x)
+                else:
+                    new[x] = got
+        return out
 
 
 NEVER = 1 << 40
@@ -41,7 +70,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """encode(piece) for one match of the split pattern.
+    """encode(pieces) for matches of the split pattern.
 
     A guess is (tokens held back, last token, node of the trie where the bytes begun since stand).
     The guesses of a state are in order of the place where their last token ends; for each
@@ -131,33 +160,43 @@ class Transducer:
             agreed += 1
         return tuple([(held[agreed:], last, node) for held, last, node in new] if agreed else new), first[:agreed]
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Token ids. Once ``max_states`` are made, further subsets are passed through but not kept."""
-        if (whole := self.ranks.get(piece)) is not None:  # the library takes such pieces as they are
-            return [whole]
-        out: list[int] = []
-        state, here, after, number = 0, None, self.next, self.number
-        for byte in piece:
-            to = after.get(state << 8 | byte) if here is None else None
-            if to is None:
-                here, emit = self._step(here or self.guesses[state], byte)
-                known = number.get(here)
-                if known is None and len(self.guesses) < self.max_states:
-                    number[here] = known = len(self.guesses)
-                    self.guesses.append(here)
-                if known is not None:
-                    if state >= 0 and len(after) < 2 * self.max_states:
+    def encode(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Token ids of each piece. Of neighbours that begin alike the common bytes are read once, so sort them.
+
+        Once ``max_states`` are made, further subsets are passed through but not kept.
+        """
+        ranks, after, number, guesses = self.ranks, self.next, self.number, self.guesses
+        before, out = b"", []
+        path = [(0, guesses[0], 0)]  # after each byte: state (-1: not kept), guesses, how many tokens are out
+        for piece in pieces:
+            if (whole := ranks.get(piece)) is not None:  # the library takes such pieces as they are
+                yield [whole]
+                continue
+            n = min(len(before), len(piece))
+            differ = int.from_bytes(before[:n]) ^ int.from_bytes(piece[:n])
+            n -= (differ.bit_length() + 7) >> 3
+            del path[n + 1 :]
+            state, here, emitted = path[n]
+            del out[emitted:]
+            for byte in piece[n:]:
+                to = after.get(state << 8 | byte) if state >= 0 else None
+                if to is None:
+                    here, emit = self._step(here, byte)
+                    known = number.get(here, -1)
+                    if known < 0 and len(guesses) < self.max_states:
+                        number[here] = known = len(guesses)
+                        guesses.append(here)
+                    if known >= 0 and state >= 0 and len(after) < 2 * self.max_states:
                         after[state << 8 | byte] = (known, emit)
-                    state, here = known, None
+                    state = known
                 else:
-                    state = -1
-                out.extend(emit)
-            else:
-                if to[1]:
-                    out.extend(to[1])
-                state = to[0]
-        out.extend((here or self.guesses[state])[-1][0])  # the guess whose last token ends here
-        return out
+                    state, emit = to
+                    here = guesses[state]
+                if emit:
+                    out.extend(emit)
+                path.append((state, here, len(out)))
+            before = piece
+            yield out + list(here[-1][0])  # the last guess is the one whose last token ends here
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -165,35 +204,49 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s\p", f"{SPACE}\\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
 
-class Encoder:
-    """encode(text) -> ids as little-endian unsigned 32-bit integers. Parts met before are looked up."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_parts: int = 100_000, max_pieces: int = 150_000):
-        self.transducer = Transducer(ranks)
-        self.split = splitter(pattern)
-        self.max_parts, self.max_pieces = max_parts, max_pieces
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _keep(self, known: dict[str, bytes], most: int, part: str, got: bytes) -> bytes:
-        if len(part) <= 64:
-            if len(known) >= most:
-                known.clear()
-            known[part] = got
-        return got
+class Pieces:
+    """Ids of parts of texts, from those of the pieces that the pattern splits them into. Pieces met lately are looked up."""
+
+    def __init__(self, transducer: Transducer, pattern: str, most: int = 150_000):
+        self.transducer, self.split, self.known = transducer, splitter(pattern).findall, Recent(most)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
-        return self._keep(self.pieces, self.max_pieces, piece, struct.pack(f"<{len(ids)}I", *ids))
+    def encode(self, parts: list[str]) -> Iterator[bytes]:
+        split = [self.split(part) for part in parts]
+        unseen = sorted(self.known.missing(set().union(*split)))
+        known = self.known.new
+        for piece, ids in zip(unseen, self.transducer.encode(map(str.encode, unseen)), strict=True):
+            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return (b"".join([known[x] for x in own]) for own in split)
 
-    def _part(self, part: str) -> bytes:
-        get = self.pieces.get
-        return self._keep(self.known, self.max_parts, part, b"".join([get(p) or self._piece(p) for p in self.split.findall(part)]))
 
-    def encode(self, text: str) -> bytes:
-        parts = PARTS.findall(text)
-        get = self.known.get
-        return b"".join([get(p) or self._part(p) for p in parts])
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    Texts are cut before blanks. Words met lately are looked up, and the new ones of a batch of texts
+    are encoded together by ``of_parts``. In ``words`` a word stands for the blank before it as well;
+    what is cut elsewhere stands in ``parts``.
+    """
+
+    def __init__(self, of_parts: Callable[[list[str]], Iterable[bytes]], most: int):
+        self.of_parts = of_parts
+        self.words, self.parts = Recent(most), Recent(most // 4)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [text.split(" ") for text in texts]
+        heads = [[own.pop(0)] for own in words]
+        distinct = set().union(*words)
+        odd = {x for x in distinct if x[:1] in ODD_BEGINS}
+        if odd:
+            for k, text in enumerate(texts):
+                if not odd.isdisjoint(words[k]) and INNER_BLANK.search(text):
+                    heads[k], words[k] = PARTS.findall(text), []
+            distinct = set().union(*words)
+        for met, asked, before in ((self.parts, set().union(*heads), ""), (self.words, distinct, " ")):
+            unseen = met.missing(asked)
+            for x, ids in zip(unseen, self.of_parts([before + x for x in unseen]), strict=True):
+                met.new[x] = ids
+        part, word = self.parts.new.__getitem__, self.words.new.__getitem__
+        return [b"".join([*map(part, head), *map(word, own)]) for head, own in zip(heads, words, strict=True)]
 
 
 #: States of UTF-8: bytes still to come, and the range the next one must lie in.
@@ -277,8 +330,8 @@ class StreamDecoder:
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
-    encoder = Encoder(read_ranks(path), pattern)
-    return encoder, StreamDecoder(encoder.transducer.bytes_of)
+    transducer = Transducer(read_ranks(path))
+    return Encoder(Pieces(transducer, pattern).encode, MAX_WORDS), StreamDecoder(transducer.bytes_of)
 
 
 #: What ``transcode`` can give, with types.
@@ -291,8 +344,10 @@ def transcode(text: Column, path: str, pattern: str, outputs: tuple[str, ...]) -
     def make():
         encoder, decoder = coder(path, pattern)
 
-        def one(value: str) -> tuple:
-            data = encoder.encode(value)
+        def all_of(texts: list[str]) -> list[tuple]:
+            return [result(data) for data in encoder.encode(texts)]
+
+        def result(data: bytes) -> tuple:
             ids = np.frombuffer(data, "<u4")
             decoded = decoder.decode(ids.tolist()) if "decoded" in outputs or "decoded_sha256" in outputs else ""
             got = {
@@ -304,9 +359,9 @@ def transcode(text: Column, path: str, pattern: str, outputs: tuple[str, ...]) -
             }
             return tuple(got[name]() for name in outputs)
 
-        return one
+        return all_of
 
-    return per_text(make, ", ".join(f"{n} {OUTPUTS[n]}" for n in outputs), list(outputs))(text)
+    return per_batch(make, ", ".join(f"{n} {OUTPUTS[n]}" for n in outputs), list(outputs))(text)
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:

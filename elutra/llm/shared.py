@@ -41,17 +41,36 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_text(make: Callable[[], Callable[[str], tuple]], schema: str, names: list[str]) -> Callable[[Column], Column]:
-    """A column function text -> struct. ``make`` runs once for each task and gives the function for one text.
+#: Up to so many rows of one or two numbers are broadcast.
+FEW = 500_000
+
+
+def small_side(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, rows of one or two numbers, marked for a broadcast if it has at most ``most`` of them; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def per_batch(make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str, names: list[str]) -> Callable[[Column], Column]:
+    """A column function text -> struct. ``make`` runs once for each task and gives the function for a batch of texts.
 
     Null texts reach it as "". The function counts as nondeterministic, so that Spark never
     evaluates it a second time in a filter that it pushes down.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = make()
+        all_of = make()
         for batch in batches:
-            yield pd.DataFrame.from_records([one(x if isinstance(x, str) else "") for x in batch], columns=names)
+            yield pd.DataFrame.from_records(all_of([x if isinstance(x, str) else "" for x in batch]), columns=names)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, schema).asNondeterministic()
+
+
+def per_text(make: Callable[[], Callable[[str], tuple]], schema: str, names: list[str]) -> Callable[[Column], Column]:
+    """Like ``per_batch``, with a function for one text."""
+
+    def of_batch():
+        one = make()
+        return lambda texts: [one(x) for x in texts]
+
+    return per_batch(of_batch, schema, names)
