@@ -8,6 +8,7 @@ from a memory map without copying. Files follow one another in ascending order o
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -16,55 +17,64 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from elutra.llm.bpe import PARTS, splitter
+from elutra.llm.bpe import Encoder
 from elutra.llm.shared import shared_folder, stable
 
 LENGTH, ROWS = 2048, 128
-#: Parts and pieces of texts whose ids a task remembers at once.
-MAX_PARTS, MAX_PIECES = 100_000, 300_000
+#: Words whose ids a task remembers.
+MAX_WORDS = 400_000
 
 
-class BatchEncoder:
-    """ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
+class LibraryEncoder:
+    """ids of texts as little-endian unsigned 32-bit integers, as the tokenizers library gives them without special tokens added.
 
-    The library merges within matches of its split pattern only, so each piece is given to it
-    once and remembered; new pieces of a batch of texts go to it together.
+    A byte-level tokenizer never merges over the blank before a word, so the library gets each word
+    once. A text that spells a special token goes to it whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.split = splitter(pattern).findall
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        own = json.loads(self.tokenizer.to_str())
+        if own["normalizer"] or (own["pre_tokenizer"] or {}).get("type") != "ByteLevel" or own["pre_tokenizer"]["add_prefix_space"] or not own["pre_tokenizer"]["use_regex"]:
+            raise ValueError("a byte-level tokenizer that splits by its pattern and changes no text is wanted")
+        self.special = [token["content"] for token in own["added_tokens"]]
+        self.line_end = self._ids("\n")
+        self.words = Encoder(self._of_parts, MAX_WORDS)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _of_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """Those without other white space than a blank before them go to the library in one text, a line each: it splits at line ends."""
+        plain = [part.split() == [part.removeprefix(" ")] for part in parts]
+        lines = self._ids("".join([part + "\n" for part, own in zip(parts, plain, strict=True) if own]))
+        ends = np.flatnonzero(lines == self.line_end[0]).tolist()
+        data, at, k = lines.tobytes(), 0, 0
+        for part, own in zip(parts, plain, strict=True):
+            if own:
+                yield data[4 * at : 4 * ends[k]]
+                at, k = ends[k] + 1, k + 1
+            else:
+                yield self._ids(part).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > MAX_PARTS:
-            self.parts.clear()
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        known, pieces = self.parts, self.pieces
-        cut = [PARTS.findall(text) for text in texts]
-        new = {p: self.split(p) for p in {p for parts in cut for p in parts if p not in known}}
-        unseen = list({x for own in new.values() for x in own if x not in pieces})
-        for x, got in zip(unseen, self.tokenizer.encode_batch(unseen, add_special_tokens=False), strict=True):
-            ids = got.ids
-            pieces[x] = struct.pack(f"<{len(ids)}I", *ids)
-        for p, own in new.items():
-            known[p] = b"".join([pieces[x] for x in own])
-        return [b"".join([known[p] for p in parts]) for parts in cut]
-
-
-def batches(rows: Iterable[tuple], most: int = 1 << 20) -> Iterator[list[tuple]]:
+        whole = [any(x in text for x in self.special) for text in texts]
+        found = self.words.encode(["" if own else text for text, own in zip(texts, whole, strict=True)])
+        for k in np.flatnonzero(whole).tolist():
+            found[k] = self._ids(texts[k]).tobytes()
+        return found
+
+
+def batches(rows: Iterable[tuple], most: int = 1 << 22) -> Iterator[list[tuple]]:
     """Rows (doc_id, text) in batches of about ``most`` characters; a longer text is one of its own."""
     held, size = [], 0
     for row in rows:
@@ -78,14 +88,15 @@ def batches(rows: Iterable[tuple], most: int = 1 << 20) -> Iterator[list[tuple]]
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> BatchEncoder:
-    return BatchEncoder(path, pattern)
+def encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def schema(length: int, kind: pa.DataType) -> pa.Schema:
     return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
+LISTED = pa.schema([("path", pa.string()), ("part", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -177,12 +188,13 @@ class Reader:
                 yield row[0], row[1], self.ids(row[1], row[2])
 
 
-def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, vocabulary: int = 50_257) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2, length: int = LENGTH, vocabulary: int = 50_257) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) below ``folder`` and gives the list of files, which is kept.
 
-    (path, first_doc_id, n_docs, n_tokens, start); start counts the ids of all files before.
-    Documents are dealt to files by ranges of doc_id and sorted within; equal doc_ids are ordered
-    by text, null ones come first. A task that runs again writes a file of another name, and only
+    (path, part, first_doc_id, n_docs, n_tokens, start); start counts the ids of all files before.
+    Documents are dealt to files by ranges of doc_id and sorted within, null ones first. Rows of one
+    doc_id may lie in several files: they are ordered by a hash of their text, and repeated rows by
+    the place they were read from. A task that runs again writes a file of another name, and only
     the files of tasks that ended well are listed. Null texts have but the end id. Ids are of 16
     bits where the vocabulary allows it.
     """
@@ -191,9 +203,9 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, e
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
     end = struct.pack("<I", end_id)
 
-    def of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, writer, first, n = encoder(path, pattern), None, None, 0
-        rows = ((None if i is pd.NA else int(i), t if isinstance(t, str) else "") for frame in frames for i, t in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True))
+    def of_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, writer, first, n = encoder(path), None, None, 0
+        rows = ((i, t or "") for part in parts for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True))
         for batch in batches(rows):
             if writer is None:
                 files, at = fs.FileSystem.from_uri(folder)
@@ -205,21 +217,22 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, e
                 n += 1
         if writer is not None:
             writer.close()
-            yield pd.DataFrame({"path": [uri], "first_doc_id": pd.array([first], "Int64"), "n_docs": [n], "n_tokens": [writer.n_tokens]})
+            yield pa.RecordBatch.from_pylist([{"path": uri, "part": TaskContext.get().partitionId(), "first_doc_id": first, "n_docs": n, "n_tokens": writer.n_tokens}], LISTED)
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    listed = stable(dealt.mapInPandas(of_task, "path string, first_doc_id long, n_docs long, n_tokens long"))
-    # A row for each file: one task can number them.
-    before = Window.orderBy(F.col("first_doc_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.spark_partition_id()]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order[:2])
+    listed = stable(dealt.mapInArrow(of_task, "path string, part int, first_doc_id long, n_docs long, n_tokens long"))
+    # A row for each file: one task can number them. Parts are in the order of their ranges.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return listed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read(listed: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``listed``, as the files hold them."""
 
-    def of_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, start in zip(frame["path"], frame["start"], strict=True):
+    def of_files(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for path, start in zip(part["path"].to_pylist(), part["start"].to_pylist(), strict=True):
                 rows = []
                 for doc_id, at, ids in Reader(path).documents():
                     rows.append((doc_id, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
@@ -229,9 +242,9 @@ def read(listed: DataFrame) -> DataFrame:
                 yield _rows(rows)
 
     spread = listed.select("path", "start").repartition(max(1, listed.count()))
-    return spread.mapInPandas(of_files, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(of_files, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return frame.astype({"doc_id": "Int64"})
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
