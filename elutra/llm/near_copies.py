@@ -1,13 +1,15 @@
 """Near copies of whole documents: exact Jaccard similarity of their sets of five-word shingles.
 
-Candidates come from a prefix filter, which misses no pair. Sets are read in one order common to all
+SimHash fingerprints of the sets, searched in vantage-point trees, find most links. What they may
+miss a prefix filter finds, which misses no pair: sets are read in one order common to all
 documents; of two sets with a similarity of 0.8 at least, each has one of the shared shingles among
 its first n - ceil(0.8 n) + 1. Any order will do; here shingles that are frequent in a sample of the
 documents come last, so that a line found in many documents makes no candidates. Every link is
 verified on the whole sets, in a join.
 
-A large group of copies doesn't cost its square: at first a document is compared with one other for
-each shingle of its prefix, and then only those pairs are that the links found so far don't join.
+A large group of copies doesn't cost its square: the trees give links that span it, and only
+documents that these don't join are compared any further: first with one other for each shingle of
+their prefix, and then those pairs that are still in different components.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from elutra.llm import simhash
 from elutra.llm.components import components
-from elutra.llm.shared import per_text, stable
+from elutra.llm.shared import per_text, small_side, stable
 
 WIDTH = 5
 #: The order of shingles is made from about so many documents, or from this share if that is more, and puts at most so
 #: many last: those in OFTEN documents of the sample or more. It decides the cost only.
 SAMPLE, SHARE, MAX_OFTEN, OFTEN = 4096, 1 / 64, 100_000, 4
+#: Fingerprints of sets with a similarity of 0.8 differ in 10 bits or so. Links of at most 12 are candidates; the trees seek
+#: those with a part that differs in one bit at most.
+RULE = simhash.Rule(reach=12, trees=4, near=1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,12 +85,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(_similar(F.size("own_a"), F.size("own_b"), shared)).select("a", "b")
 
 
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _fingerprint(own: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def group(docs: DataFrame) -> DataFrame:
     """doc_id and component_id for every row of ``docs`` (doc_id, text) with a doc_id.
 
     component_id is the smallest doc_id that can be reached over links of documents whose sets of
     five-word shingles have a Jaccard similarity of 0.8 or more. Texts without words, and null
-    ones, are copies of each other. An empty table stays empty.
+    ones, are copies of each other. Repeated rows repeat; other columns are ignored. An empty table
+    stays empty.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     often = docs.sparkSession.sparkContext.broadcast(_often(docs))
@@ -94,61 +112,90 @@ def group(docs: DataFrame) -> DataFrame:
 
         def one(value: str) -> tuple:
             own = shingles(value)
-            return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), len(own), prefix(own, tokens, counts)
+            return _node(own), len(own), _fingerprint(own), prefix(own, tokens, counts)
 
         return one
 
-    of_docs = docs.select("doc_id", per_text(read, "node long, n long, prefix array<long>", ["node", "n", "prefix"])(F.col("text")).alias("x"))
+    of_docs = docs.select("doc_id", per_text(read, "node long, n long, fp long, prefix array<long>", ["node", "n", "fp", "prefix"])(F.col("text")).alias("x"))
     of_docs = _kept(of_docs.select("doc_id", "x.*"))
-    nodes = of_docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    # Rows of (token, node, spot): a spot is the size of the set and the place in it, in one number to keep rows short.
-    index = nodes.where("n > 1").select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    index = index.select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("spot"))
-    whole = Window.partitionBy("token")
-    # Each shingle has another document that the rest are compared with, so that a document meets many of a large group.
-    index = index.withColumns({"one": F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node", "spot")).over(whole), "rows": F.count("*").over(whole)})
-    index = index.where("rows > 1").select("token", "node", "spot", F.col("one.node").alias("one"), F.col("one.spot").alias("one_spot"))
-    index = _kept(index)  # shingles of several documents
-    nodes = _kept(of_docs.groupBy("node").agg(F.min("doc_id").alias("first")))
+    nodes = _kept(of_docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
 
-    def possible(spot: str, other: str) -> Column:
-        """By sizes, and by how much is left from the first shared shingle on."""
-        (n, at), (m, to) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in (spot, other))
-        return _similar(n, m, F.least(n - at, m - to))
-
-    stars = index.where("node <> one").where(possible("spot", "one_spot"))
-    stars = _kept(stars.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct())
-
-    def texts():
+    def read_sets():
         def one(value: str) -> tuple:
             own = shingles(value)
-            return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), own
+            return _node(own), own
 
         return one
 
     def sets(pairs: DataFrame) -> DataFrame:
         """The whole sets of the pairs' nodes, from the text of one document each."""
         asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-        asked = asked.join(nodes.select(F.col("node").alias("asked"), F.col("first").alias("doc_id")), "asked")
-        own = per_text(texts, "node long, own array<long>", ["node", "own"])(F.col("text"))
-        found = docs.join(asked, "doc_id").select("doc_id", "asked", own.alias("x")).select("doc_id", "asked", "x.*")
+        asked = _kept(asked.join(nodes.select(F.col("node").alias("asked"), F.col("first").alias("doc_id")), "asked"))
+        own = per_text(read_sets, "node long, own array<long>", ["node", "own"])(F.col("text"))
+        found = docs.join(small_side(asked), "doc_id").select("doc_id", "asked", own.alias("x")).select("doc_id", "asked", "x.*")
         found = found.where("node = asked").dropDuplicates(["doc_id", "node"])  # of repeated rows one; they are in one place
         return _kept(found.select("node", "own"))
 
-    near = _kept(_verified(stars, sets(stars)))
+    # Links that the trees find.
+    with_words = nodes.where("n > 0")
+    asked = simhash.links(with_words.select("node", "fp"), with_words.count(), RULE)
+    asked = _kept(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    near = _kept(_verified(asked, sets(asked)))
     of_node = components(near)
 
+    # Shingles of documents in several components. Rows of (token, node, c, spot): c is the component, a spot the size of
+    # the set and the place in it, in one number to keep rows short.
+    index = of_docs.where("n > 1").select("doc_id", "node", "n", "prefix").join(nodes.select("node", F.col("first").alias("doc_id")), ["doc_id", "node"], "left_semi")
+    index = index.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("spot"))
+    whole = Window.partitionBy("token")
+
+    def open_at(rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Rows of tokens whose documents are in different components yet; repeated rows are harmless."""
+        at = rows.join(known, "node", "left").select("token", "node", "spot", F.coalesce("component", "node").alias("c"))
+        return at.withColumns({"low": F.min("c").over(whole), "high": F.max("c").over(whole)}).where("low <> high").select("token", "node", "spot", "c")
+
+    def possible(spot: str, other: str) -> Column:
+        """By sizes, and by how much is left from the first shared shingle on."""
+        (n, at), (m, to) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in (spot, other))
+        return _similar(n, m, F.least(n - at, m - to))
+
+    index = _kept(open_at(index, of_node))
+    one = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "c").alias("h"), "c", "node", "spot")).over(whole)
+    stars = index.withColumn("one", one).where("c <> one.c").select("node", "spot", F.col("one.node").alias("one"), F.col("one.spot").alias("one_spot")).where(possible("spot", "one_spot"))
+    stars = _kept(stars.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
+    tried = asked.union(stars)
+    if not stars.isEmpty():
+        more = _kept(_verified(stars, sets(stars)))
+        if not more.isEmpty():
+            near = near.union(more)
+            of_node = components(near)
+
     # What the stars have left open: pairs of a shingle in different components.
-    of_index = index.join(of_node, "node", "left").select("token", "node", "spot", F.coalesce("component", "node").alias("c"))
-    of_index = of_index.withColumns({"low": F.min("c").over(whole), "high": F.max("c").over(whole)}).where("low <> high").select("token", "node", "spot", "c")
+    of_index = open_at(index.drop("c"), of_node)
     x, y = of_index.toDF("token", "a", "spot", "c"), of_index.toDF("token", "b", "other", "d")
-    open_pairs = x.join(y, "token").where("a > b and c <> d").where(possible("spot", "other"))
-    open_pairs = _kept(open_pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    if not open_pairs.isEmpty():
-        more = _kept(_verified(open_pairs, sets(open_pairs)))
+    pairs = x.join(y, "token").where("a > b and c <> d").where(possible("spot", "other"))
+    pairs = _kept(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        more = _kept(_verified(pairs, sets(pairs)))
         if not more.isEmpty():
             of_node = components(near.union(more))
     small = of_node.join(nodes, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = of_node.join(small, "component").select("node", "component_id")
     known = nodes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     return of_docs.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group of near copies.
+
+    Rows that share a doc_id are one document, of which one row stays. Rows without doc_id stay.
+    """
+    found = group(docs)
+    found = stable(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
+    copies = small_side(found.where("doc_id <> component_id").select("doc_id"))
+    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again)

@@ -1,14 +1,14 @@
 """SimHash fingerprints and their near-duplicate groups, found with vantage-point trees.
 
-A tree node has a vantage point and a radius, and measures Hamming distance on one block of
-three bits; deeper nodes use other blocks. For two fingerprints x and y the triangle inequality
-bounds each block's share of their distance from below, and as blocks don't overlap these bounds
-add up. So a search for y takes with it how many differing bits are left, and leaves a branch
-out as soon as they don't suffice to reach it. The upper levels of the tree deal fingerprints to
-shards; each is at home in one, and asks the other shards whose border it is close enough to.
-
-For a wide reach the bits are split into parts with a tree for each: of two fingerprints within
-``reach`` bits one part differs in at most reach // trees, so each tree searches that closely.
+The bits are cut into parts, each with a tree: of two fingerprints within ``reach`` bits one part
+differs in at most reach // trees, so each tree searches that closely. For the usual reach of 3 and
+four trees this is 0: a fingerprint then visits one shard of each tree, for any number of shards.
+
+The upper levels of a tree measure Hamming distance from vantage points on bits of its part and deal
+fingerprints to shards; each is at home in one, and asks the other shards whose border is close
+enough: as the bits of the levels don't overlap, the triangle bounds of the levels add up, and a
+search takes with it how many differing bits are left. Within a shard the tree goes on, over the
+rest of the part's bits and then over whole fingerprints, with median radii.
 """
 
 from __future__ import annotations
@@ -18,15 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from elutra.llm import near_copies
 from elutra.llm.components import components
 from elutra.llm.shared import per_text, stable
 
 
-
 def blocks_of(tree: int, trees: int) -> list[int]:
     """Masks of the blocks that a tree of ``trees`` uses: of three bits for one tree, else single bits."""
     size, own = (3, 64) if trees == 1 else (1, 64 // trees)
@@ -35,7 +33,8 @@ def blocks_of(tree: int, trees: int) -> list[int]:
 
 #: The upper tree is made from at most so many fingerprints, those with the smallest hashes.
 MAX_SAMPLE = 8192
-SHARD = 131_072
+#: Fingerprints of a shard, on average. Shards of over ``LARGE`` rows are compared in blocks, each pair of blocks in a task of its own.
+SHARD, LARGE = 32_768, 200_000
 
 
 def fingerprint_of(text: str, width: int = 3) -> int:
@@ -62,14 +61,9 @@ def _ones(hashes: list[int]) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.uint32)
 
 
-def fingerprint(text: Column, widths: tuple[int, ...] = (3,)) -> Column:
-    """Struct of 64-bit fingerprints fp0, fp1, ... as longs; 0 for null and for texts without words."""
-    names = [f"fp{i}" for i in range(len(widths))]
-
-    def make():
-        return lambda value: tuple(int(np.uint64(fingerprint_of(value, w)).astype(np.int64)) for w in widths)
-
-    return per_text(make, ", ".join(f"{n} long" for n in names), names)(text)
+def fingerprint(text: Column, width: int = 3) -> Column:
+    """64-bit fingerprints as longs; 0 for null and for texts without words."""
+    return per_text(lambda: lambda value: (int(np.uint64(fingerprint_of(value, width)).astype(np.int64)),), "fp long", ["fp"])(text)["fp"]
 
 
 def build_tree(sample: np.ndarray, blocks: list[int], depth: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -151,73 +145,105 @@ class Groups:
 
 @dataclass(frozen=True)
 class Rule:
-    """Which fingerprints link: within ``reach`` bits, and the second ones within ``reach2``; and how they are sought."""
+    """Fingerprints link within ``reach`` bits. Each of ``trees`` searches its part of the bits for up to ``near``
+    differing ones; by default that is reach // trees, which finds all links."""
 
     width: int = 3
     reach: int = 3
-    trees: int = 1
-    width2: int | None = None
-    reach2: int = 0
-
-    def linked(self, x: np.ndarray, x2: np.ndarray | None, q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        close = np.bitwise_count(x[q][:, None] ^ x[h][None, :]) <= self.reach
-        at, to = np.nonzero(close)
-        if x2 is not None and len(at):
-            keep = np.bitwise_count(x2[q[at]] ^ x2[h[to]]) <= self.reach2
-            at, to = at[keep], to[keep]
-        keep = q[at] != h[to]
-        return at[keep], to[keep]
-
-
-def search(rule: Rule, x: np.ndarray, x2: np.ndarray | None, blocks: list[int], homes: np.ndarray, queries: np.ndarray, left_over: np.ndarray, level: int, groups: Groups) -> None:
-    """Joins every query with the homes it links to, by a tree over the homes."""
+    trees: int = 4
+    near: int | None = None
+
+    @property
+    def part_reach(self) -> int:
+        return self.reach // self.trees if self.near is None else self.near
+
+
+def search(x: np.ndarray, reach: int, near: int, blocks: list[int], homes: np.ndarray, queries: np.ndarray, left_over: np.ndarray, level: int, groups: Groups) -> None:
+    """Joins every query with the homes within ``reach`` of it, by a tree over the homes: bits of the part first, then whole fingerprints."""
     if not len(homes) or not len(queries):
         return
-    if len(homes) * len(queries) <= 1 << 15 or len(homes) <= 32 or level >= len(blocks):
-        step = max(1, (1 << 20) // len(homes))
-        for lo in range(0, len(queries), step):
-            own = queries[lo : lo + step]
-            q, h = rule.linked(x, x2, own, homes)
-            if len(q):
-                for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
-                    groups.join(int(own[q[part[0]]]), homes[h[part]])
+    if len(homes) <= 32 or len(homes) * len(queries) <= 1 << 15:
+        _compare(x, reach, homes, queries, groups)
         return
-    point, block = x[homes[len(homes) // 2]], blocks[level]
+    whole = level >= len(blocks)
+    block = ~0 & (1 << 64) - 1 if whole else blocks[level]
+    point = x[homes[len(homes) // 2]]
     d, dq = _block(x[homes], point, block), _block(x[queries], point, block)
     r = _radius(d, block)
+    if r < 0 or r >= d.max():
+        if not whole:
+            search(x, reach, near, blocks, homes, queries, left_over, level + 1, groups)
+        else:  # all equally far from the vantage point
+            _compare(x, reach, homes, queries, groups)
+        return
     for own, cost in ((d <= r, np.maximum(0, dq - r)), (d > r, np.maximum(0, r + 1 - dq))):
-        go = cost <= left_over
-        search(rule, x, x2, blocks, homes[own], queries[go], (left_over - cost)[go], level + 1, groups)
+        go = cost <= (reach if whole else left_over)
+        left = left_over[go] if whole else (left_over - cost)[go]
+        search(x, reach, near, blocks, homes[own], queries[go], left, level + 1, groups)
+
+
+def _compare(x: np.ndarray, reach: int, homes: np.ndarray, queries: np.ndarray, groups: Groups) -> None:
+    step = max(1, (1 << 20) // len(homes))
+    for lo in range(0, len(queries), step):
+        own = queries[lo : lo + step]
+        q, h = np.nonzero(np.bitwise_count(x[own][:, None] ^ x[homes][None, :]) <= reach)
+        other = own[q] != homes[h]
+        q, h = q[other], h[other]
+        if len(q):
+            for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
+                groups.join(int(own[q[part[0]]]), homes[h[part]])
+
 
+def depth_of(n: int, shard: int, rule: Rule) -> int:
+    """Levels of the upper trees; a part has as many as it has blocks."""
+    return min(len(blocks_of(0, rule.trees)), max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
 
-def links(nodes: DataFrame, n: int, rule: Rule, shard: int = SHARD, sample: int = MAX_SAMPLE) -> DataFrame:
-    """Links (a, b) that join the ``nodes`` (node, fp0, fp1) to the same groups as all links do. No pairs are emitted
+
+def links(nodes: DataFrame, n: int, rule: Rule, shard: int = SHARD, sample: int = MAX_SAMPLE, large: int = LARGE) -> DataFrame:
+    """Links (a, b) that join the ``nodes`` (node, fp) to the same groups as all links do. No pairs are emitted
     beyond those that first join two groups within a shard."""
-    picked = np.array([r["fp0"] for r in nodes.select("fp0").orderBy(F.xxhash64("fp0")).limit(sample).collect()], np.int64).view(np.uint64)
-    depth = min(12, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
-    near = rule.reach // rule.trees
+    picked = np.array([r["fp"] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    depth, near = depth_of(n, shard, rule), rule.part_reach
     all_blocks = [blocks_of(t, rule.trees) for t in range(rule.trees)]
     upper = [build_tree(picked, blocks, depth) for blocks in all_blocks]
-    second = rule.width2 is not None
 
     def visits(frames):
         for frame in frames:
-            x = frame["fp0"].to_numpy(np.int64).view(np.uint64)
+            x = frame["fp"].to_numpy(np.int64).view(np.uint64)
             for t, (points, radii) in enumerate(upper):
-                at, node, left_over = route(x, all_blocks[t], points, radii, near)
-                yield frame.iloc[at].assign(tree=np.int32(t), shard=node, left_over=left_over.astype(np.int32))
+                at, place, left_over = route(x, all_blocks[t], points, radii, near)
+                yield frame.iloc[at].assign(tree=np.int32(t), shard=place, left_over=left_over.astype(np.int32))
 
     def within(key, frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame["fp0"].to_numpy(np.int64).view(np.uint64)
-        x2 = frame["fp1"].to_numpy(np.int64).view(np.uint64) if second else None
+        frame = frame.sort_values(["fp", "node"])
+        x, chunk = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["chunk"].to_numpy()
         left_over, node = frame["left_over"].to_numpy(), frame["node"].to_numpy(np.int64)
         groups = Groups(len(x))
-        search(rule, x, x2, all_blocks[key[0]], np.flatnonzero(left_over > near), np.arange(len(x)), np.minimum(left_over, near), depth, groups)
+        home = left_over > near
+        # Of the two chunks of a block one has the homes and the other one asks, and the other way round.
+        for here in np.unique(chunk):
+            asks = np.ones(len(x), bool) if len(np.unique(chunk)) == 1 else chunk != here
+            search(x, rule.reach, near, all_blocks[key[0]], np.flatnonzero(home & (chunk == here)), np.flatnonzero(asks), np.minimum(left_over, near)[asks], depth, groups)
         found = np.array(groups.links, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    spread = nodes.select("node", "fp0", "fp1").mapInPandas(visits, "node long, fp0 long, fp1 long, tree int, shard long, left_over int")
-    return spread.groupBy("tree", "shard").applyInPandas(within, "a long, b long")
+    spread = nodes.select("node", "fp").mapInPandas(visits, "node long, fp long, tree int, shard long, left_over int")
+    return in_blocks(spread, ["tree", "shard"], large).applyInPandas(within, "a long, b long")
+
+
+def in_blocks(spread: DataFrame, place: list[str], most: int) -> GroupedData:
+    """Rows of ``spread`` (node, ...) grouped by ``place``. Those of a place with over ``most`` rows go to blocks:
+    every two chunks of it meet in one, so the work of a hot place is dealt out as well. Adds chunk and block."""
+    large = stable(spread.groupBy(*place).count().where(F.col("count") > most))
+    if large.isEmpty():
+        spread = spread.withColumns({"chunk": F.lit(0), "block": F.lit(0).cast("long")})
+    else:
+        chunks = F.ceil(F.col("count") * 2 / most).cast("int")
+        spread = spread.join(large, place, "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
+        spread = spread.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        spread = spread.withColumn("block", F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other"))
+    return spread.groupBy(*place, "block")
 
 
 def group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -226,40 +252,16 @@ def group(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     component_id is the smallest doc_id that can be reached over the rule's links. Rows of equal
     fingerprints are one node, so a group of copies costs one row in the search. Null and empty
     texts have fingerprint 0, linked like any other. A null doc_id gets its group's smallest
-    doc_id, or null in a group without any; with second fingerprints, a group of equal ones
-    without any doc_id stays apart. An empty table stays empty.
-    """
-    second = rule.width2 is not None
-    x = docs.select("doc_id", fingerprint(F.col("text"), (rule.width, rule.width2) if second else (rule.width,)).alias("x"))
-    of_docs = stable(x.select("doc_id", "x.fp0", (F.col("x.fp1") if second else F.lit(0).cast("long")).alias("fp1")))
-    nodes = of_docs.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("first"))
-    nodes = stable(nodes.withColumn("node", F.col("first") if second else F.col("fp0")))
-    found = components(links(nodes.where("node is not null"), nodes.count(), rule))
-    small = found.join(nodes, "node").groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = found.join(small, "component").select("node", "component_id")
-    known = stable(nodes.join(of_node, "node", "left").select("fp0", "fp1", F.coalesce("component_id", "first").alias("component_id")))
-    return of_docs.join(known, ["fp0", "fp1"]).select("doc_id", F.col("fp0").alias("fp"), "component_id")
-
-
-#: A rule of fingerprints alone for near copies of whole documents: an estimate of a similarity of 0.8 on five words, which
-#: loses some copies and links some documents well below it. keep_one() doesn't use it.
-NEAR_COPIES = Rule(width=3, reach=10, trees=3, width2=5, reach2=16)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group of near copies.
-
-    Groups are those of ``near_copies.group``: every link has an exact similarity of 0.8 at least on five words.
-    Rows that share a doc_id are one document, of which one row stays. Rows without doc_id stay.
+    doc_id, or null in a group without any. Repeated rows repeat; other columns are ignored. An
+    empty table stays empty.
     """
-    found = near_copies.group(docs)
-    found = stable(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("rows > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again)
+    of_docs = stable(docs.select("doc_id", fingerprint(F.col("text"), rule.width).alias("fp")))
+    nodes = stable(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), nodes.count(), rule))
+    small = found.join(nodes, found["node"] == nodes["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
+    of_node = found.join(small, "component").select(F.col("node").alias("fp"), "component_id")
+    known = stable(nodes.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
+    return of_docs.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

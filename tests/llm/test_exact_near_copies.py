@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from elutra.llm import near_copies, simhash
+from elutra.llm import near_copies
 
 
 def shingle_set(text: str | None) -> frozenset:
@@ -69,7 +69,7 @@ def test_keep_one_is_exact_on_the_documents(spark):
     """These documents have pairs of similarities down to 0.64 that fingerprints link."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r["doc_id"], r["text"]) for r in df.collect()])
-    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {d for d, c in want.items() if d == c}
+    assert {r["doc_id"] for r in near_copies.keep_one(df).collect()} == {d for d, c in want.items() if d == c}
 
 
 def test_pipeline_keeps_what_is_below_the_similarity(spark):
@@ -85,5 +85,7 @@ def test_pipeline_keeps_what_is_below_the_similarity(spark):
     good = {r["doc_id"] for r in quality.score(rest, quality.fit(rest, labels)).where("predicted = 1").collect()}
     left = [(r["doc_id"], r["text"]) for r in rest.collect() if r["doc_id"] in good]
     of = brute(left)
-    items = decontam.Items.of([(r["item_id"], r["text"]) for r in bench.collect()], decontam.MIN_TILE)
-    assert got == {d for d, t in left if of[d] == d and not decontam.match(t or "", items, decontam.MIN_TILE, decontam.COVERAGE)}
+    bench_docs = spark.createDataFrame([(d, t) for d, t in left if of[d] == d], "doc_id long, text string")
+    leaking = {r["doc_id"] for r in decontam.leaks(bench_docs, bench).select("doc_id").collect()}
+    assert got == {d for d, _ in left if of[d] == d and d not in leaking}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontamination", "bpe"]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from elutra.llm import embed_dedup, simhash
+from elutra.llm import embed_dedup, near_copies, simhash
 from elutra.llm.components import components
 
 
@@ -47,19 +47,45 @@ def test_fingerprint(text):
     assert simhash.fingerprint_of(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("rule,shard", [(simhash.Rule(), 1 << 20), (simhash.Rule(), 100), (simhash.Rule(reach=10, trees=3), 200), (simhash.Rule(reach=8, trees=4), 1 << 20)])
-def test_links_join_what_brute_force_joins(spark, rule, shard):
+@pytest.mark.parametrize("rule,shard", [(simhash.Rule(), 1 << 20), (simhash.Rule(), 10), (simhash.Rule(trees=1), 100), (simhash.Rule(reach=10, trees=3), 200), (simhash.Rule(reach=8, trees=4), 1 << 20)])
+@pytest.mark.parametrize("large", [simhash.LARGE, 40])
+def test_links_join_what_brute_force_joins(spark, rule, shard, large):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     near = x[:300] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, rule.reach + 3), replace=False)) for _ in range(300)], np.uint64)
     x = np.unique(np.concatenate([x, near]))
     at = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= rule.reach)
     want = groups(len(x), at.tolist())
-    nodes = spark.createDataFrame([(i, int(v), 0) for i, v in enumerate(x.view(np.int64))], "node long, fp0 long, fp1 long")
-    found = [(r["a"], r["b"]) for r in simhash.links(nodes, len(x), rule, shard, 256).collect()]
+    nodes = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x.view(np.int64))], "node long, fp long")
+    found = [(r["a"], r["b"]) for r in simhash.links(nodes, len(x), rule, shard, 256, large).collect()]
     assert groups(len(x), found) == want
 
 
+def test_a_fingerprint_visits_one_shard_of_each_tree():
+    """Whatever the depth of the trees, and for a tree over all bits many more."""
+    x = np.random.default_rng(8).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    for depth in (1, 4, 8, 12):
+        visits = 0
+        for t in range(4):
+            blocks = simhash.blocks_of(t, 4)
+            at, shard, _ = simhash.route(x, blocks, *simhash.build_tree(x[:8000], blocks, depth), simhash.Rule().part_reach)
+            visits += len(at)
+            assert np.bincount(shard).max() < 4 * len(x) / 2**depth + 60
+        assert visits == 4 * len(x)
+
+
+def test_trees_over_whole_fingerprints_find_all_links():
+    """Many fingerprints that share a part, so that only vantage points on all bits tell them apart."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 48, 3000, dtype=np.uint64)
+    x = np.unique(np.concatenate([x, x[:900] ^ (np.uint64(1) << rng.integers(0, 48, 900, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 48, 900, dtype=np.uint64))]))
+    own = simhash.Groups(len(x))
+    everything = np.arange(len(x))
+    simhash.search(x, 3, 0, simhash.blocks_of(3, 4), everything, everything, np.zeros(len(x), np.int64), 0, own)
+    at = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
+    assert groups(len(x), own.links) == groups(len(x), at.tolist())
+
+
 def test_simhash_rows(spark):
     rows = [(5, "a b c d"), (3, "A B c d"), (9, None), (8, ""), (None, "a b c d"), (7, "other words here"), (7, "other words here")]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, component_id string")
@@ -75,7 +101,7 @@ def test_keep_one(spark):
     near[50] = "changed"
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words)), (4, " ".join("v%d" % rng.randrange(900) for _ in range(200))), (4, "again"), (None, "x")]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
-    kept = simhash.keep_one(df)
+    kept = near_copies.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4]
 
@@ -98,28 +124,18 @@ def test_embeddings(spark, monkeypatch, block):
     assert embed_dedup.group(df.limit(0)).count() == 0
 
 
-def test_pipeline_against_its_stages(spark):
-    """What run() returns is what the operators decide one by one; planted copies and leaks are gone."""
-    import corpus_pipeline
-    from elutra.llm import decontam, quality, toxicity
-
-    sf = "/root/testdata/sf0.001"
-    docs, labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
-    model = toxicity.fit(docs, labels)
-    left = [r for r in docs.collect() if model.severity(r["text"] or "")[1] < 0.5]
-    rest = spark.createDataFrame(left, docs.schema)
-    rules = quality.fit(rest, labels)
-    good = {r["doc_id"] for r in quality.score(rest, rules).where("predicted = 1").collect()}
-    left = [r for r in left if r["doc_id"] in good]
-    fp = [(simhash.fingerprint_of(r["text"] or "", 3), simhash.fingerprint_of(r["text"] or "", 5)) for r in left]
-    rule = simhash.NEAR_COPIES
-    near = [(i, j) for i in range(len(left)) for j in range(i) if (fp[i][0] ^ fp[j][0]).bit_count() <= rule.reach and (fp[i][1] ^ fp[j][1]).bit_count() <= rule.reach2]
-    of = groups(len(left), near)
-    first = {}
-    for i, r in enumerate(left):
-        first[of[i]] = min(first.get(of[i], r["doc_id"]), r["doc_id"])
-    left = [r for r in left if r["doc_id"] in set(first.values())]
-    items = decontam.Items.of([(r["item_id"], r["text"]) for r in bench.collect()], decontam.MIN_TILE)
-    assert got == {r["doc_id"] for r in left if not decontam.match(r["text"] or "", items, decontam.MIN_TILE, decontam.COVERAGE)}
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontamination", "bpe"]
+def test_embedding_recall_with_many_leaves(spark, monkeypatch):
+    """Pairs just over the threshold among vectors of one label, whose name is a text, in some hundred leaves of each tree."""
+    monkeypatch.setattr(embed_dedup, "LEAF", 64)
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((8000, 64)))
+    z = rng.standard_normal((1500, 64))
+    z = unit(z - (z * x[:1500]).sum(1, keepdims=True) * x[:1500])
+    c = rng.uniform(0.931, 0.97, (1500, 1))
+    v = np.concatenate([x, c * x[:1500] + np.sqrt(1 - c * c) * z])
+    nodes = spark.createDataFrame([(i, "one", y.tolist()) for i, y in enumerate(v)], "node long, label string, embedding array<double>")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in embed_dedup.links(nodes, 0.93, leaf=64).collect()}
+    assert np.mean([(i, 8000 + i) in found for i in range(1500)]) > 0.95
+    few = embed_dedup.links(nodes, 0.93, leaf=64, sample=2000)
+    assert few.count() >= 0.9 * 1500
