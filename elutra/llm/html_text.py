@@ -8,7 +8,8 @@ list item, quote or table cell; a finished buffer goes into the one around it.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -17,15 +18,20 @@ from pyspark.sql import functions as F
 
 from elutra.llm.shared import per_text
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|[^<]++|<""", re.S)
+#: A comment, a declaration, a tag, text, or a "<" that begins none of these. Quotes count after a "=" only.
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)>|[^<]++|<""", re.S
+)
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
 
 #: Elements of HTML by the way they are read and laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object svg audio video canvas dialog".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas defs desc metadata".split())
 HEAD = frozenset("html head meta link base title style script template noscript".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset menu dir".split())  # with a blank line around
 BLOCK = APART | frozenset("address article aside body center details summary div dd dt figcaption footer form header hr html legend li main nav option optgroup section select tbody thead tfoot tr td th caption search hgroup".split())
@@ -45,8 +51,11 @@ ENDS = {
     "optgroup": ({"optgroup", "option"}, {"select"}),
 }
 WALLS = frozenset("td th caption table button object template html".split())  # end tags inside don't reach beyond
-WIDEST = 60  # wider columns are not padded
-DEEPEST = 30  # lists and quotes further in are not indented any more
+#: Columns are padded up to so many characters, and lists and quotes indented up to so many levels: all text is
+#: there, but no page becomes much longer than its source.
+WIDEST, DEEPEST = 60, 30
+#: The largest spans of cells.
+COLSPAN, ROWSPAN = 1000, 65_534
 
 
 class Buffer:
@@ -69,6 +78,9 @@ class Buffer:
             self.line.append(text)
 
     def verbatim(self, text: str) -> None:
+        if self.blank and self.lines and not self.line:
+            self.lines.append("")
+        self.blank = False
         first, *rest = text.split("\n")
         if first:
             self.line.append(first)
@@ -114,34 +126,34 @@ class Table:
     rows: list[list[tuple[list[str], int, int]]] = field(default_factory=list)
 
     def render(self) -> list[str]:
-        grid: list[list[list[str]]] = []
+        grid: list[dict[int, list[str]]] = []
         below: dict[int, int] = {}  # column -> rows that a cell above still fills
         for row in self.rows:
-            cells: list[list[str]] = []
+            cells: dict[int, list[str]] = {}
+            at, filled = 0, below
+            below = {k: n - 1 for k, n in filled.items() if n > 1}
             for lines, across, down in row:
-                while below.get(len(cells), 0) > 0:
-                    below[len(cells)] -= 1
-                    cells.append([])
-                for k in range(across):
-                    if down > 1:
-                        below[len(cells)] = down - 1
-                    cells.append(lines if k == 0 else [])
-            while below.get(len(cells), 0) > 0:
-                below[len(cells)] -= 1
-                cells.append([])
-            if any(cells):
+                while at in filled:
+                    at += 1
+                if lines:
+                    cells[at] = lines
+                if down > 1:
+                    below.update(dict.fromkeys(range(at, at + across), down - 1))
+                at += across
+            if cells:
                 grid.append(cells)
-        widths: list[int] = []
+        widths: dict[int, int] = {}
         for cells in grid:
-            widths += [0] * (len(cells) - len(widths))
-            for k, lines in enumerate(cells):
-                widths[k] = max([widths[k], *map(len, lines)])
-        keep = [k for k, w in enumerate(widths) if w]
+            for k, lines in cells.items():
+                widths[k] = max(widths.get(k, 0), *map(len, lines))
+        keep = sorted(widths)
+        place = {k: i for i, k in enumerate(keep)}
         out = []
         for cells in grid:
-            for i in range(max(map(len, cells))):
-                row = [(cells[k][i] if k < len(cells) and i < len(cells[k]) else "").ljust(min(widths[k], WIDEST)) for k in keep]
-                out.append(" | ".join(row).rstrip(" |") if any(x.strip() for x in row) else "")
+            for i in range(max(map(len, cells.values()))):
+                own = {k: lines[i] for k, lines in cells.items() if i < len(lines) and lines[i].strip()}
+                last = place[max(own)] if own else -1
+                out.append(" | ".join([own.get(k, "").ljust(min(widths[k], WIDEST)) for k in keep[: last + 1]]).rstrip(" "))
         return out
 
 
@@ -157,87 +169,95 @@ def number(text: str | None, low: int, high: int, other: int) -> int:
     return min(high, max(low, int(m[1]))) if m else other
 
 
+@dataclass(slots=True)
+class Element:
+    tag: str
+    displayed: bool
+    visible: bool
+    verbatim: bool
+    known: dict[str, str]
+
+
 class Page:
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, bool, dict[str, str]]] = []  # tag, visible, verbatim, attributes
-        self.open: Counter = Counter()
+        self.stack: list[Element] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # tag -> where it stands on the stack
         self.buffers = [Buffer()]
         self.tables: list[Table] = []
         self.lists: list[list] = []  # [numbered, next number]
 
     # Tree builder
 
-    def visible(self) -> bool:
-        return self.stack[-1][1] if self.stack else True
-
     def start(self, tag: str, raw: str) -> None:
-        if tag not in HEAD and self.open["head"]:
+        if tag not in HEAD and self.places["head"]:
             self.end("head")
-        if tag in ENDS_P and self.open["p"]:
+        if tag in ENDS_P and self.places["p"]:
             self._end_up_to({"p"}, WALLS)
         if tag in ENDS:
             inner, outer = ENDS[tag]
             self._end_up_to(inner, outer)
-        if tag in ("html", "body") and self.open[tag]:
+        if tag in ("html", "body") and self.places[tag]:
             return
-        if tag in ("td", "th") and not self._within("tr", {"table"}) and self.open["table"]:
+        if tag in ("td", "th") and self._last({"tr"}) <= self._last({"table"}) and self.places["table"]:
             self.start("tr", "")
-        known = attributes(raw) if "hidden" in raw or "style" in raw or "span" in raw or tag in ("ol", "input") else {}
-        seen = self.visible() and tag not in UNSEEN and "hidden" not in known and not ("style" in known and UNSEEN_STYLE.search(known["style"]))
+        known = attributes(raw) if raw.strip(" /") else {}
+        top = self.stack[-1] if self.stack else Element("", True, True, False, {})
+        style = known.get("style", "")
+        displayed = top.displayed and tag not in UNSEEN and "hidden" not in known and not NO_DISPLAY.search(style) and (tag != "dialog" or "open" in known)
+        stated = VISIBILITY.search(style)
+        visible = stated[1].lower() not in ("hidden", "collapse") if stated and stated[1].lower() != "inherit" else top.visible
         if tag in VOID:
-            if seen:
-                self._void(tag)
+            if displayed:
+                self._void(tag, known if visible else {})
             return
-        self.stack.append((tag, seen, tag in ("pre", "xmp", "textarea") or bool(self.stack and self.stack[-1][2]), known))
-        self.open[tag] += 1
-        if seen:
+        self.places[tag].append(len(self.stack))
+        self.stack.append(Element(tag, displayed, visible, tag in ("pre", "xmp", "textarea") or top.verbatim, known))
+        if displayed:
             self._enter(tag, known)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
-        elif self.open[tag]:
+        elif self.places[tag]:
             self._end_up_to({tag}, WALLS - {tag})
-        elif tag == "p" and self.visible():
+        elif tag == "p" and (not self.stack or self.stack[-1].displayed):
             self.buffers[-1].end_line()
             self.buffers[-1].apart()
 
-    def _within(self, tag: str, outer: set[str]) -> bool:
-        for x in reversed(self.stack):
-            if x[0] == tag or x[0] in outer:
-                return x[0] == tag
-        return False
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        """Where the innermost open element of ``tags`` stands; -1 for none."""
+        return max([at[-1] for t in tags if (at := self.places.get(t))], default=-1)
 
-    def _end_up_to(self, tags: set[str], outer: set[str]) -> None:
-        """Ends the outermost open element of ``tags`` that no one of ``outer`` holds, with all in it."""
-        if not any(self.open[t] for t in tags):
-            return
-        at = None
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                at = k
-                if len(tags) == 1:
-                    break
-            elif self.stack[k][0] in outer:
-                break
-        while at is not None and len(self.stack) > at:
-            tag, seen, _, known = self.stack.pop()
-            self.open[tag] -= 1
-            if seen:
-                self._leave(tag, known)
+    def _end_up_to(self, tags: set[str], outer: set[str] | frozenset[str]) -> None:
+        """Ends the outermost open element of ``tags`` that no one of ``outer`` holds (of a single tag the innermost), with all in it."""
+        wall = self._last(outer)
+        if len(tags) == 1:
+            found = [x for x in [self._last(tags)] if x > wall]
+        else:
+            found = [at[k] for t in tags if (at := self.places.get(t)) and (k := bisect_right(at, wall)) < len(at)]
+        if found:
+            self._close(min(found))
+
+    def _close(self, at: int) -> None:
+        while len(self.stack) > at:
+            x = self.stack.pop()
+            self.places[x.tag].pop()
+            if x.displayed:
+                self._leave(x.tag, x.known)
 
     def text(self, text: str) -> None:
-        if not self.visible():
+        top = self.stack[-1] if self.stack else None
+        if top and not (top.displayed and top.visible):
             return
         text = unescape(text) if "&" in text else text
-        if self.stack and self.stack[-1][2]:
+        if top and top.verbatim:
             self.buffers[-1].verbatim(text.replace("\r\n", "\n"))
-        else:
+        elif text:
             self.buffers[-1].text(text)
 
     # Renderer
 
-    def _void(self, tag: str) -> None:
+    def _void(self, tag: str, known: dict[str, str]) -> None:
         if tag == "br":
             out = self.buffers[-1]
             if out.line:
@@ -247,11 +267,13 @@ class Page:
         elif tag == "hr":
             self.buffers[-1].end_line()
             self.buffers[-1].apart()
+        elif tag == "input" and known.get("type", "").lower() in ("submit", "button", "reset") and known.get("value"):
+            self.buffers[-1].text(known["value"])
 
     def _enter(self, tag: str, known: dict[str, str]) -> None:
         out = self.buffers[-1]
         if tag in BLOCK:
-            out.end_line(collapse=not self.stack[-1][2])
+            out.end_line(collapse=not self.stack[-1].verbatim)
             if tag in APART and not (tag in ("ul", "ol") and self.lists):
                 out.apart()
         if tag in ("ul", "ol", "menu", "dir"):
@@ -278,13 +300,14 @@ class Page:
             if tag == "li":
                 mark = "- "
                 if self.lists and self.lists[-1][0]:
+                    self.lists[-1][1] = number(known.get("value"), -(10**9), 10**9, self.lists[-1][1])
                     mark = f"{self.lists[-1][1]}. "
                     self.lists[-1][1] += 1
                 out.add(lines, mark, "" if deep else " " * len(mark))
             elif tag in ("td", "th") and self.tables:
                 if not self.tables[-1].rows:
                     self.tables[-1].rows.append([])
-                self.tables[-1].rows[-1].append((lines, number(known.get("colspan"), 1, 100, 1), number(known.get("rowspan"), 1, 1000, 1)))
+                self.tables[-1].rows[-1].append((lines, number(known.get("colspan"), 1, COLSPAN, 1), number(known.get("rowspan"), 1, ROWSPAN, 1)))
             elif tag == "blockquote":
                 out.add(lines, "> ", "" if deep else "> ")
             else:
@@ -299,12 +322,22 @@ class Page:
 
 
 def render(html: str) -> str:
-    """The visible text of ``html``. Never fails: what is no tag counts as text."""
+    """The visible text of ``html``, in time in proportion to its length.
+
+    Never fails: what is no tag counts as text. A tag whose quotes don't end is ended by the next ">";
+    if none follows, the rest of the page is text.
+    """
     page, at, n = Page(), 0, len(html)
+    last = html.rfind(">")
     while at < n:
-        m = TAG.match(html, at)
+        m = TAG.match(html, at) if at <= last else None
+        if m is None:
+            page.text(html[at:])
+            break
+        if m[2] is None and m[0] == "<":
+            m = BROKEN.match(html, at) or m
         at = m.end()
-        tag = m[2]
+        tag = m[2] if m.re.groups and m.lastindex else None
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 page.text(m[0])
@@ -321,7 +354,7 @@ def render(html: str) -> str:
             at = stop
             if not close:
                 page.end(tag)
-    page._end_up_to({x[0] for x in page.stack}, set())
+    page._close(0)
     return "\n".join(page.buffers[0].done())
 
 

@@ -102,14 +102,15 @@ def fit(docs: DataFrame, max_texts: int = MAX_TEXTS, dim: int = DIM) -> Model:
     """Prototypes from rows of ``docs`` (doc_id, text, lang) with text and language.
 
     At most ``max_texts`` texts of each language, however many rows there are; each is read whole.
+    Of rows that share doc_id and language the least text counts.
     """
     known = docs.where("doc_id is not null and text is not null and lang is not null")
-    ids = known.select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    ids = known.select("doc_id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # First the smallest within shares of a language, so that a frequent one is never sorted in one task.
     for by in (["lang", "salt"], ["lang"]):
         ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= max_texts).drop("rank")
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def make():
         bundler = Bundler(dim)

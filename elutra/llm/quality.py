@@ -96,11 +96,11 @@ def _paths(node, names: list[str], path: Rule = ()) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lasso: float = LASSO) -> Model:
     """A model from rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0 or 1) marks.
 
-    Null labels are left out. If only one label is there, every text gets a score on its side of
+    Null labels are left out; of rows that share a doc_id the least text counts. If only one label is there, every text gets a score on its side of
     0.5; without labels, all get 1 (nothing is known against them).
     """
     sample = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most max_rows rows
     names = NAMES
     x = rows.select("doc_id", F.col("label").cast("double").alias("label"), statistics(F.col("text")).alias("x"))
     # Measured by all tasks that read texts; the few rows found are then fit in a few partitions.
@@ -132,6 +132,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``; null texts score as empty ones."""
     own = "_quality_statistics"
+    while own in docs.columns:
+        own += "_"
     return docs.withColumn(own, statistics(F.col("text"))).where(model.column({n: F.col(f"{own}.{n}") for n in NAMES}) >= least).drop(own)

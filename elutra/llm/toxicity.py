@@ -85,14 +85,15 @@ def _fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, n_
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, n_grades: int = 4, l1: float = 2e-4) -> Model:
     """A model from labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    The sample is of bounded size: of each class the rows with the smallest hashes of doc_id.
-    Null labels and null texts are left out. Without both classes, nothing is toxic.
+    The sample is of bounded size: of each class the documents with the smallest hashes of doc_id,
+    one text of each (of rows that share a doc_id the least). Null labels and null texts are left
+    out. Without both classes, nothing is toxic.
     """
     asked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = asked.where("toxic = 1").orderBy(*order).limit(max_toxic).union(asked.where("toxic = 0").orderBy(*order).limit(max_other))
     texts = docs.where("text is not null").select("doc_id", "text")
-    rows = stable(texts.join(F.broadcast(sample), "doc_id"))  # at most max_toxic + max_other rows
+    rows = stable(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # at most max_toxic + max_other rows
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     asked_of = {r["toxic"]: r["n"] for r in asked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nothing = Model({}, tuple(50.0 + k for k in range(n_grades - 1)))
