@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elutra.llm import bpe, decontam, quality, simhash, toxicity
+from elutra.llm import bpe, decontam, near_copies, quality, toxicity
 from elutra.llm.queries import tokenizer_file
 from elutra.llm.shared import shared_folder, short_batches, table
 
@@ -27,7 +27,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, linked by an exact similarity of 0.8 on five words, the document with the smallest doc_id stays."""
     short_batches(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
