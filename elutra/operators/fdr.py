@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elutra.operators.running import running
+from elutra.plans.stages import keep
 
 BY = ["sample"]
 
@@ -78,7 +79,7 @@ def q_values(p: DataFrame, pi0s: DataFrame | None = None, pfdr: bool = True) ->
 
 def error_table(scored: DataFrame, pi0_method: str = "scalar", pfdr: bool = True) -> DataFrame:
     """(sample, cutoff, n, pvalue, qvalue): a row for each distinct target score, with the number of targets that have it."""
-    p = p_values(scored)
+    p = keep(p_values(scored))  # q-values are made from it, and joined with it
     q = q_values(p, None if pi0_method == "scalar" else pi0(p, pi0_method), pfdr)
     return p.join(q.drop("n"), ["sample", "pvalue"]).select("sample", F.col("score").alias("cutoff"), F.col("nt").alias("n"), "pvalue", "qvalue")
 
@@ -97,6 +98,7 @@ def fdr_filter(scored: DataFrame, fdr: float = 0.1, floor: float = 0.5) -> DataF
     scored = scored.where(F.col("score") >= floor)
     if fdr >= 1:
         return scored
+    scored = keep(scored)
     return scored.join(cutoffs(error_table(scored), fdr), "sample").where((F.col("score") > F.col("cutoff")) & ~F.col("is_decoy")).drop("cutoff")
 
 

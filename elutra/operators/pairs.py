@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from elutra.functions import names
 from elutra.functions import profiles as p
+from elutra.plans.stages import keep
 
 BLOCK = 1024
 
@@ -29,6 +32,10 @@ def correlated_pairs(profiles: DataFrame, threshold: float | None = 0.4, block:
     None gives all pairs with a correlation. The matrix of all pairs is cut into blocks of keys by
     keys; a task holds two blocks of profiles and emits hits only. Memory doesn't grow with the table.
     """
+    return _pairs_where(profiles, np.isfinite if threshold is None else lambda r: r > threshold, block)
+
+
+def _pairs_where(profiles: DataFrame, holds: Callable[[np.ndarray], np.ndarray], block: int = BLOCK) -> DataFrame:
     n_blocks = max(1, -(-profiles.count() // block))
     kind = dict(profiles.dtypes)["key"]
     own = profiles.select("key", F.transform("vals", lambda x: x.cast("double")).alias("vals")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
@@ -41,7 +48,7 @@ def correlated_pairs(profiles: DataFrame, threshold: float | None = 0.4, block:
             return pd.DataFrame({"a": [], "b": [], "r": []})
         with np.errstate(invalid="ignore"):
             r = _unit(x["vals"]) @ _unit(y["vals"]).T
-            i, j = np.nonzero(np.isfinite(r) if threshold is None else r > threshold)
+            i, j = np.nonzero(holds(r))
         a, b, r = x["key"].to_numpy()[i], y["key"].to_numpy()[j], r[i, j]
         if low == high:
             keep = a < b
@@ -66,31 +73,56 @@ def attach_profiles(pairs: DataFrame, profiles: DataFrame, values: str = "vals")
 
 
 def decoy_pairs(profiles: DataFrame, k: int, threshold: float = 0.4, seed: int = 0, tries: int = 4) -> DataFrame:
-    """About ``k`` pairs (draw, a, b) of profiles that don't correlate over ``threshold``, drawn with replacement.
+    """``k`` pairs (draw, a, b) of profiles that don't correlate over ``threshold``, drawn with replacement.
 
-    Draw i takes the first of its ``tries`` hashed pairs that is no self-pair and doesn't
-    correlate, so draws need neither the matrix of all pairs nor an order of execution.
+    Draw i takes the first of its hashed pairs that is no self-pair and doesn't correlate, so draws
+    need neither the matrix of all pairs nor an order of execution. Draws that fail are drawn again
+    in rounds. Once a round fills under a hundredth of them, pairs that don't correlate are so few
+    that all of them are listed, and the rest is drawn from the list. If there are none, the result is empty.
     """
+    spark, kind = profiles.sparkSession, dict(profiles.dtypes)["key"]
     n = profiles.count()
+    empty = spark.createDataFrame([], f"draw long, a {kind}, b {kind}")
     if n < 2 or k < 1:
-        return profiles.sparkSession.createDataFrame([], f"draw long, a {dict(profiles.dtypes)['key']}, b {dict(profiles.dtypes)['key']}")
+        return empty
     numbered = number(profiles.select("key", "vals"), "key").select(F.col("row").alias("at"), "key", "vals")
-    draws = profiles.sparkSession.range(k).withColumnRenamed("id", "draw").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    draws = draws.select("draw", "try", *[F.pmod(F.xxhash64(F.lit(seed), F.lit(end), "draw", "try"), F.lit(n)).alias(end) for end in ("i", "j")]).where("i <> j")
     x, y = (numbered.select(F.col("at").alias(i), F.col("key").alias(c), F.col("vals").alias(f"f{c}")) for i, c in (("i", "a"), ("j", "b")))
-    r = p.pearson(F.col("fa"), F.col("fb"))
-    ok = draws.join(x, "i").join(y, "j").where(r <= threshold)
-    return ok.groupBy("draw").agg(F.min_by(F.struct("a", "b"), "try").alias("x")).select("draw", "x.a", "x.b")
+    left, n_left, first, found = spark.range(k).withColumnRenamed("id", "draw"), k, 0, None
+    while n_left:
+        asked = left.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+        asked = asked.select("draw", "try", *[F.pmod(hashed(F.lit(seed), F.lit(end), F.col("draw"), F.col("try")), F.lit(n)).alias(end) for end in ("i", "j")]).where("i <> j")
+        ok = asked.join(x, "i").join(y, "j").where(p.pearson(F.col("fa"), F.col("fb")) <= threshold)
+        got = keep(ok.groupBy("draw").agg(F.min_by(F.struct("a", "b"), "try").alias("x")).select("draw", "x.a", "x.b"))
+        found = got if found is None else found.union(got)
+        n_got = got.count()
+        left, first = keep(left.join(got, "draw", "left_anti")), first + tries
+        n_left -= n_got
+        if n_left and n_got * 100 < n_got + n_left:
+            allowed = number(_pairs_where(profiles, lambda r: r <= threshold).select("a", "b"), "a", "b")
+            n_allowed = allowed.count()
+            if not n_allowed:
+                return empty
+            chosen = left.withColumn("row", F.pmod(hashed(F.lit(seed), F.lit("list"), F.col("draw")), F.lit(n_allowed)))
+            return found.union(chosen.join(allowed, "row").select("draw", "a", "b"))
+    return found
+
+
+def hashed(*columns: Column) -> Column:
+    """A number of 60 bits from the text of the columns, the same in every engine."""
+    text = F.concat_ws(":", *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def number(df: DataFrame, *order: str, out: str = "row") -> DataFrame:
-    """Rows numbered from 0 in order, without one task for all: places within ranges, and sizes of the ranges before."""
-    at = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = at.groupBy(part.alias("_part")).count()
+    """Rows numbered from 0 in order, without one task for all: places within ranges, and sizes of the ranges before.
+
+    The ranges are written down once, as a second exchange could draw other borders between them.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = keep(dealt.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    sizes = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    joined = at.withColumn("_part", part).join(F.broadcast(sizes), "_part")
+    sizes = at.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    joined = at.join(F.broadcast(sizes), "_part")
     return joined.withColumn(out, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_id", "_part", "_before")
 
 

@@ -19,7 +19,8 @@ VEC = "vec AS (SELECT vec_id AS key, label, unnest(embedding)::DOUBLE AS v, (gen
 TOP = """top AS (SELECT key, idx FROM (SELECT key, idx, v, lag(v) OVER w AS a, lead(v) OVER w AS b FROM {0} WINDOW w AS (PARTITION BY key ORDER BY idx)) WHERE v > a AND v > b)"""
 STEP = "step AS (SELECT x.key AS a, y.key AS b, x.idx, x.v AS va, y.v AS vb FROM vec x JOIN vec y ON y.key = x.key + 1 AND x.idx = y.idx)"
 CORR = "cor AS (SELECT x.key AS a, y.key AS b, any_value(x.label) AS la, any_value(y.label) AS lb, corr(x.v, y.v) AS r FROM {0} x JOIN {0} y ON x.idx = y.idx AND x.key < y.key GROUP BY 1, 2)"
-SCORED = VEC + ", " + CORR.format("vec") + ", sc AS (SELECT la AS sample, a, b, round((r + 1) / 2, 5) AS score, la <> lb AS d FROM cor WHERE isfinite(r))"
+SCORED = """sc AS (SELECT a % 10 AS sample, a, b, round(CASE WHEN (a + b) % 3 = 0 THEN x ELSE sqrt(x) END, 5) AS score, (a + b) % 3 = 0 AS d
+  FROM (SELECT l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b, avg(l_quantity) / 51 AS x FROM lineitem GROUP BY 1, 2))"""
 PVAL = """, cnt AS (SELECT sample, score, count_if(NOT d)::DOUBLE AS nt, count_if(d)::DOUBLE AS nd FROM sc GROUP BY 1, 2),
  tot AS (SELECT sample, sum(nd) AS m0 FROM cnt GROUP BY 1 HAVING sum(nd) > 0),
  abv AS (SELECT *, coalesce(sum(nd) OVER (PARTITION BY sample ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM cnt),
@@ -29,8 +30,8 @@ QVAL = """, per AS (SELECT sample, pvalue, sum(nt) AS n FROM pv GROUP BY 1, 2),
  qr AS (SELECT *, m * pvalue / (v * (1 - pow(1 - pvalue, m))) AS raw, pvalue = last AND n = 1 AS single FROM qv),
  qq AS (SELECT sample, pvalue, n, CASE WHEN single THEN least(raw, 1) ELSE min(CASE WHEN NOT single THEN raw END) OVER (PARTITION BY sample ORDER BY pvalue ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS qvalue FROM qr),
  et AS (SELECT sample, score AS cutoff, nt AS n, pvalue, qvalue FROM pv JOIN (SELECT sample, pvalue, qvalue FROM qq) USING (sample, pvalue))"""
-DIR = """dir AS (SELECT src, dst{1}, count(*) / (count(*) + 2)::DOUBLE AS weight FROM (SELECT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst{1} FROM lineitem)
-  WHERE src <> dst GROUP BY src, dst{1}), edg AS (SELECT lo AS src, hi AS dst{1}, weight FROM (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi{1}, max(weight) AS weight FROM dir GROUP BY least(src, dst), greatest(src, dst){1}))"""
+DIR = """items AS (SELECT src, dst{1}, count(*) AS n FROM (SELECT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst{1} FROM lineitem)
+  WHERE src <> dst GROUP BY src, dst{1}), dir AS (SELECT src, dst{1}, n / (n + (SELECT avg(n) FROM items) / 3) AS weight FROM items), edg AS (SELECT lo AS src, hi AS dst{1}, weight FROM (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi{1}, max(weight) AS weight FROM dir GROUP BY least(src, dst), greatest(src, dst){1}))"""
 EDGES = DIR.replace("{1}", "")
 REPS = DIR.replace("{1}", ", l_returnflag")
 CONDS = DIR.replace("{1}", ", l_linestatus")
@@ -44,6 +45,17 @@ WD = (
  st AS (SELECT i, sum(v) AS s1, sum(v * v) AS s2, count(*) AS k, any_value(n.n) AS n FROM x, n GROUP BY 1),
  wd AS (SELECT x.i, x.j, x.v * (n / k) * greatest(1, sqrt((s2 - n * pow(s1 / n, 2) + pow(s1 / n, 2) * (n - k)) / (n - 1)) / (s1 / n)) AS wd FROM x JOIN st USING (i))"""
 )
+# Decoys for {0}: the first of eight tries of each draw; a ninth is as likely as a tenth to the eighth power.
+DECOY = """num AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS at FROM (SELECT DISTINCT key FROM vec)), size AS (SELECT count(*) AS n FROM num),
+ hash AS (SELECT draw, try, ('0x' || substr(md5('0:i:' || draw || ':' || try), 1, 15))::BIGINT % n AS i, ('0x' || substr(md5('0:j:' || draw || ':' || try), 1, 15))::BIGINT % n AS j
+   FROM range(({0})::BIGINT) d(draw), range(8) t(try), size),
+ dec AS (SELECT draw, arg_min((x.key, y.key), try) AS p FROM hash JOIN num x ON i = x.at JOIN num y ON j = y.at JOIN cor ON cor.a = least(x.key, y.key) AND cor.b = greatest(x.key, y.key)
+   WHERE i <> j AND r <= 0.4 GROUP BY draw), decoy AS (SELECT draw, p[1] AS a, p[2] AS b FROM dec)"""
+POSITIVE = "SELECT count(*) FROM cor WHERE r > 0.4 AND isfinite(r)"
+NULLS = """draws AS (SELECT r, exp(sqrt(-2 * ln((('0x' || substr(h, 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE)) * cos(2 * pi() * ((('0x' || substr(h, 16, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE))) AS x
+   FROM (SELECT r, md5('0:' || r || ':' || j) AS h FROM range(10001) a(r), range((SELECT count(*) FROM supplier)) b(j))),
+ nulls AS (SELECT x * greatest(1, sqrt((sum(x * x) OVER w - count(*) OVER w * pow(avg(x) OVER w, 2)) / (count(*) OVER w - 1)) / avg(x) OVER w) AS v FROM draws WINDOW w AS (PARTITION BY r)),
+ cut AS (SELECT quantile_cont(v, 0.9) AS cutoff FROM nulls)"""
 R = "round({0}, 6) + 0.0 AS {1}"
 
 
@@ -52,7 +64,8 @@ def _r(expression: str, name: str | None = None) -> str:
 
 
 SQL: dict[str, str] = {
-    "scan_matrix": f"WITH {PROF} SELECT key, idx, {_r('v')} FROM prof",
+    "scan_matrix": f"WITH {PROF} SELECT key, idx, {_r('nullif(v, 0)', 'v')} FROM prof",
+    "scan_matrix_legacy": f"WITH {PROF} SELECT key, (row_number() OVER (PARTITION BY key ORDER BY idx) - 1)::INT AS idx, {_r('2 * v', 'v')} FROM prof WHERE v <> 0",
     "sample_labels": "SELECT o_orderpriority || '_' || year(o_orderdate) AS label, count(*) AS n FROM orders GROUP BY 1",
     "condition_last_id": "SELECT o_orderpriority AS cond, arg_max(o_custkey, o_orderkey)::VARCHAR AS short_id FROM orders GROUP BY 1",
     "contaminant_freq": f"WITH {PROF} SELECT key AS gene, round(count_if(v > 0) / count(*), 6) + 0.0 AS freq FROM prof GROUP BY 1",
@@ -99,9 +112,11 @@ SQL: dict[str, str] = {
     "pearson_pair": f"WITH {VEC}, {STEP} SELECT a, b, {_r('corr(va, vb)', 'r')} FROM step GROUP BY 1, 2",
     "prior_semi": f"WITH {EDGES}, s AS (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0) SELECT src AS a, dst AS b FROM dir WHERE src IN (SELECT k FROM s) AND dst IN (SELECT k FROM s)",
     "attach_profiles": f"WITH {VEC}, {STEP} SELECT a, b, {_r('sum(va)', 'sum_a')}, {_r('sum(vb)', 'sum_b')} FROM step GROUP BY 1, 2",
-    "pair_ids": f"WITH {VEC}, {CORR.format('vec')} SELECT 'ppi_' || row_number() OVER (ORDER BY a, b) AS id, a, b, a || '#' || b AS mb FROM cor WHERE r > 0.4 AND isfinite(r)",
-    "pair_union": f"""WITH {VEC}, {CORR.format('vec')} SELECT a, b, count(*) AS n FROM (SELECT a, b FROM cor WHERE r > 0.4 AND isfinite(r) UNION ALL
-      SELECT vec_id - 1, vec_id FROM embeddings WHERE vec_id - 1 IN (SELECT vec_id FROM embeddings)) GROUP BY 1, 2""",
+    "pair_ids": f"""WITH {VEC}, {CORR.format('vec')}, {DECOY.format(POSITIVE)} SELECT 'ppi_' || row_number() OVER (ORDER BY a, b) AS id, a, b, a || '#' || b AS mb FROM cor WHERE r > 0.4 AND isfinite(r)
+      UNION ALL SELECT 'DECOY_ppi_' || (row_number() OVER (ORDER BY a, b) + ({POSITIVE})), a, b, a || '_DECOY#' || b || '_DECOY' FROM decoy""",
+    "pair_union": f"""WITH {VEC}, {CORR.format('vec')}, {DECOY.format(POSITIVE)} SELECT a, b, is_decoy, count(*) AS n FROM (SELECT a, b, false AS is_decoy FROM cor WHERE r > 0.4 AND isfinite(r) UNION ALL
+      SELECT vec_id - 1, vec_id, false FROM embeddings WHERE vec_id - 1 IN (SELECT vec_id FROM embeddings) UNION ALL SELECT a, b, true FROM decoy) GROUP BY 1, 2, 3""",
+    "decoy_sample": f"WITH {VEC}, {CORR.format('vec')}, {DECOY.format('SELECT count(*) FROM embeddings')} SELECT draw, a, b FROM decoy",
     "abs_diff": f"WITH {VEC}, {STEP} SELECT a, b, idx, {_r('abs(va - vb)', 'v')} FROM step",
     "peak_shift": f"""WITH {VEC}, {TOP.format('vec')}, pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)
       SELECT a, b, min(abs(p.idx - q.idx))::INT AS shft FROM pr LEFT JOIN top p ON p.key = a LEFT JOIN top q ON q.key = b GROUP BY 1, 2""",
@@ -111,10 +126,11 @@ SQL: dict[str, str] = {
     "sliding_corr": f"""WITH {VEC}, {STEP}, w AS (SELECT x.a, x.b, x.idx, corr(y.va, y.vb) AS r FROM step x JOIN step y ON x.a = y.a AND x.b = y.b AND y.idx BETWEEN x.idx AND x.idx + 9 WHERE x.idx <= 54 GROUP BY 1, 2, 3)
       SELECT a, b, idx, round(r, 6) + 0.0 AS v FROM w WHERE isfinite(r)""",
     "assemble_features": f"""WITH {VEC}, {STEP}, {TOP.format('vec')}, w AS (SELECT x.a, x.b, x.idx, corr(y.va, y.vb) AS r FROM step x JOIN step y ON x.a = y.a AND x.b = y.b AND y.idx BETWEEN x.idx AND x.idx + 9 WHERE x.idx <= 54 GROUP BY 1, 2, 3),
-      sh AS (SELECT a, b, min(abs(p.idx - q.idx)) AS s FROM (SELECT DISTINCT a, b FROM step) LEFT JOIN top p ON p.key = a LEFT JOIN top q ON q.key = b GROUP BY 1, 2)
-      SELECT a, b, 0::INT AS idx, coalesce(s, 0)::DOUBLE AS v FROM sh
-      UNION ALL SELECT t.a, t.b, (t.idx + 1)::INT, round(CASE WHEN isfinite(r) THEN r ELSE 0 END, 6) + 0.0 FROM step t LEFT JOIN w ON w.a = t.a AND w.b = t.b AND w.idx = t.idx
-      UNION ALL SELECT a, b, (idx + 65)::INT, round(abs(va - vb), 6) + 0.0 FROM step""",
+      sh AS (SELECT a, b, min(abs(p.idx - q.idx)) AS s FROM (SELECT DISTINCT a, b FROM step) LEFT JOIN top p ON p.key = a LEFT JOIN top q ON q.key = b GROUP BY 1, 2),
+      ok AS (SELECT sh.a, sh.b, s FROM sh LEFT JOIN w ON w.a = sh.a AND w.b = sh.b AND isfinite(r) GROUP BY 1, 2, 3 HAVING (64 - count(r) + (s IS NULL)::INT) / 129 <= 0.075)
+      SELECT a, b, 0::INT AS idx, coalesce(s, 0)::DOUBLE AS v FROM ok
+      UNION ALL SELECT t.a, t.b, (t.idx + 1)::INT, round(CASE WHEN isfinite(r) THEN r ELSE 0 END, 6) + 0.0 FROM step t SEMI JOIN ok ON ok.a = t.a AND ok.b = t.b LEFT JOIN w ON w.a = t.a AND w.b = t.b AND w.idx = t.idx
+      UNION ALL SELECT a, b, (idx + 65)::INT, round(abs(va - vb), 6) + 0.0 FROM step SEMI JOIN ok USING (a, b)""",
     "mcc": """WITH c AS (SELECT sum(t * y)::DOUBLE AS tp, sum((1 - t) * (1 - y))::DOUBLE AS tn, sum((1 - t) * y)::DOUBLE AS fp, sum(t * (1 - y))::DOUBLE AS fn FROM (SELECT quality AS t, 1 - toxic AS y FROM labels))
       SELECT round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) + 0.0 AS mcc FROM c""",
     "empirical_pvalue": f"WITH {SCORED}{PVAL} SELECT sample, score, nt::BIGINT AS n, {_r('pvalue')} FROM pv",
@@ -155,6 +171,8 @@ SQL: dict[str, str] = {
     "information_content": f"WITH {EDGES} SELECT src, dst, {_r('-log2(1 - weight)', 'ic')} FROM edg",
     "wd_score": f"WITH {WD} SELECT i, j, {_r('wd')} FROM wd",
     "quantile_normalize": f"WITH {WD} SELECT i, j, round(wd / (SELECT quantile_cont(wd, 0.9) FROM wd WHERE wd > 0), 6) + 0.0 AS wd FROM wd",
+    "wd_cutoff": f"WITH {WD}, {NULLS} SELECT round(cutoff, 6) + 0.0 AS cutoff, count(*) AS n, count_if(wd < cutoff)::BIGINT AS under FROM wd, cut GROUP BY 1",
+    "wd_filtered": f"WITH {WD}, {NULLS} SELECT i, j, round(CASE WHEN wd < cutoff THEN 0 ELSE wd END, 6) + 0.0 AS wd FROM wd, cut",
     "upper_triangle": f"WITH {WD} SELECT b.s_suppkey AS prot_a, a.s_suppkey AS prot_b, round(coalesce(wd, 0), 6) + 0.0 AS wd FROM supplier a JOIN supplier b ON a.s_suppkey <= b.s_suppkey LEFT JOIN wd ON wd.i = a.s_suppkey AND wd.j = b.s_suppkey",
     "mcl_normalize": f"WITH {MAT}, {NORM.format('m')} SELECT i, j, {_r('v')} FROM nrm",
     "mcl_inflate": f"WITH {MAT}, p AS (SELECT i, j, v * v AS v FROM m), {NORM.format('p')} SELECT i, j, {_r('v')} FROM nrm",

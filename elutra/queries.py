@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from elutra.functions import names, signal
 from elutra.functions import profiles as p
 from elutra.operators import cluster, fdr, features, network, pairs, specificity
-from elutra.sources import tables, validate
+from elutra.plans.stages import shared_folder
+from elutra.sources import sinks, tables, validate
 
 MONTHS = 83  # months from January 1995 on that the line items span
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,18 +59,21 @@ def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """(sample, a, b, score, is_decoy): pairs of vectors; a decoy has two labels; the first one's label is the sample."""
-    v = vectors(spark, sf)
-    label = v.select("key", "label")
-    at = pairs.correlated_pairs(v, None).join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
-    return at.select(F.col("la").alias("sample"), "a", "b", F.round((F.col("r") + 1) / 2, 5).alias("score"), (F.col("la") != F.col("lb")).alias("is_decoy"))
+    """(sample, a, b, score, is_decoy): pairs of suppliers by line items, scored by their mean quantity; every third pair is a decoy."""
+    n = table(spark, sf, "supplier").count()
+    x = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % n).alias("b"), "l_quantity")
+    share = x.groupBy("a", "b").agg((F.avg("l_quantity") / 51).alias("x")).withColumn("is_decoy", (F.col("a") + F.col("b")) % 3 == 0)
+    score = F.round(F.when(F.col("is_decoy"), F.col("x")).otherwise(F.sqrt("x")), 5)
+    return share.select((F.col("a") % 10).alias("sample"), "a", "b", score.alias("score"), "is_decoy")
 
 
 def directed(spark: SparkSession, sf: str, *by: str) -> DataFrame:
-    """Edges from suppliers to suppliers by line items, weighing n / (n + 2)."""
+    """Edges from suppliers to suppliers by line items. With n items an edge weighs n / (n + m / 3), where m is the mean n of all edges."""
     n = table(spark, sf, "supplier").count()
     x = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst"), *by).where("src <> dst")
-    return x.groupBy(*by, "src", "dst").agg((F.count("*") / (F.count("*") + 2)).alias("weight"))
+    counted = x.groupBy(*by, "src", "dst").agg(F.count("*").alias("n"))
+    mean = F.broadcast(counted.agg(F.avg("n").alias("mean")))  # one row
+    return counted.join(mean).select(*by, "src", "dst", (F.col("n") / (F.col("n") + F.col("mean") / 3)).alias("weight"))
 
 
 def edges(spark: SparkSession, sf: str, *by: str) -> DataFrame:
@@ -97,9 +102,26 @@ def sheet(spark: SparkSession, sf: str) -> DataFrame:
 # Sources and checks
 
 
+def _matrix_file(spark: SparkSession, rows: DataFrame) -> str:
+    """A matrix written as the text that measurements come in: zeros are empty cells. The file is in the order of ``rows``."""
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    cells = [F.nullif(F.get("vals", F.lit(k)), F.lit(0.0)).alias(f"f{k}") for k in range(MONTHS)]
+    sinks.write_tsv(rows.select(F.col("key").alias("GN"), *cells), path)
+    return path
+
+
 @query
 def scan_matrix(spark, sf):
-    return long(profiles(spark, sf), "key")
+    return long(tables.read_matrix(spark, _matrix_file(spark, profiles(spark, sf))).withColumn("key", F.col("key").cast("long")), "key")
+
+
+@query
+def scan_matrix_legacy(spark, sf):
+    """Every key twice, in one file: the last row stays, without its empty cells."""
+    x = profiles(spark, sf)
+    twice = x.withColumn("pass", F.lit(0)).union(x.select("key", F.transform("vals", lambda v: 2 * v), F.lit(1)))
+    path = _matrix_file(spark, twice.orderBy("pass", "key").coalesce(1))
+    return long(tables.read_matrix(spark, path, legacy=True).withColumn("key", F.col("key").cast("long")), "key")
 
 
 @query
@@ -352,14 +374,15 @@ def attach_profiles(spark, sf):
 @query
 def pair_ids(spark, sf):
     x = pairs.correlated_pairs(vectors(spark, sf), 0.4)
-    return pairs.pair_table(x, x.limit(0)).select("id", "a", "b", "mb")
+    return pairs.pair_table(x, pairs.decoy_pairs(vectors(spark, sf), x.count())).select("id", "a", "b", "mb")
 
 
 @query
 def pair_union(spark, sf):
     v = vectors(spark, sf)
     prior = v.select((F.col("key") - 1).alias("a"), F.col("key").alias("b"))
-    return pairs.pair_table(pairs.correlated_pairs(v, 0.4), prior.limit(0), pairs.prior_pairs(prior, v)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    x = pairs.correlated_pairs(v, 0.4)
+    return pairs.pair_table(x, pairs.decoy_pairs(v, x.count()), pairs.prior_pairs(prior, v)).groupBy("a", "b", "is_decoy").agg(F.count("*").alias("n"))
 
 
 @query
@@ -404,9 +427,11 @@ def sliding_corr(spark, sf):
 
 @query
 def assemble_features(spark, sf):
+    """Feature rows of neighbours, of which at most 0.075 is undefined."""
     v = vector_pairs(spark, sf)
-    x = v.select("a", "b", p.peak_shift(p.local_maxima(F.col("fa")), p.local_maxima(F.col("fb"))).alias("shft"), signal.sliding_corr(F.col("fa"), F.col("fb")).alias("cor"), p.abs_diff(F.col("fa"), F.col("fb")).alias("dif"))
-    return long(x.withColumn("vals", p.features(F.col("shft"), F.col("cor"), F.col("dif"))), "a", "b")
+    parts = (p.peak_shift(p.local_maxima(F.col("fa")), p.local_maxima(F.col("fb"))).alias("shft"), signal.sliding_corr(F.col("fa"), F.col("fb")).alias("cor"), p.abs_diff(F.col("fa"), F.col("fb")).alias("dif"))
+    x = v.select(F.lit("").alias("id"), "a", "b", F.lit(False).alias("is_decoy"), *parts)
+    return long(features.assemble(x, 0.075), "a", "b", vals="x")
 
 
 @query
@@ -609,13 +634,15 @@ def quantile_normalize(spark, sf):
 
 @query
 def wd_cutoff(spark, sf):
-    return specificity.null_cutoff(spark, table(spark, sf, "supplier").count(), 1000)
+    """The cutoff for rows as long as the network's, and how many of its scores lie under it."""
+    cut = specificity.null_cutoff(spark, table(spark, sf, "supplier").count())
+    return _scores(spark, sf).join(F.broadcast(cut)).groupBy(r6("cutoff").alias("cutoff")).agg(F.count("*").alias("n"), F.count_if(F.col("wd") < F.col("cutoff")).alias("under"))
 
 
 @query
 def wd_filtered(spark, sf):
     n = table(spark, sf, "supplier").count()
-    return specificity.apply_cutoff(_scores(spark, sf), specificity.null_cutoff(spark, n, 1000)).select("i", "j", "wd")
+    return specificity.apply_cutoff(_scores(spark, sf), specificity.null_cutoff(spark, n)).select("i", "j", r6("wd").alias("wd"))
 
 
 @query
@@ -660,7 +687,7 @@ def mcl_iterate(spark, sf):
 @query
 def mcl_clusters(spark, sf):
     m = network.symmetrize(edges(spark, sf).where("weight >= 0.8")).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
-    return cluster.cluster_table(cluster.clusters(cluster.run_mcl(m, iterations=40)))
+    return cluster.cluster_table(cluster.clusters(cluster.run_mcl(m)))
 
 
 @query
@@ -674,7 +701,7 @@ def modularity(spark, sf):
 @query
 def layered_factors(spark, sf):
     m = network.symmetrize(edges(spark, sf)).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
-    return cluster.layered_factors(m, (8, 4), rounds=3)[0]
+    return cluster.layered_factors(m)[0]
 
 
 @query

@@ -43,7 +43,7 @@ def read_matrix(spark: SparkSession, path: str, key: str = "GN", legacy: bool =
     shift the rest to the left, and the last of several rows with one key stays."""
     if not legacy:
         return as_profiles(tsv(spark, path), key)
-    lines = with_row_order(spark.read.text(path)).withColumn("cells", F.split(F.rtrim("value"), "\t+"))
+    lines = with_row_order(spark.read.text(path)).withColumn("cells", F.split(F.regexp_replace("value", "\\s+$", ""), "\t+"))
     head = lines.where(F.get("cells", F.lit(0)) == key).orderBy("row_idx").limit(1).select(F.size("cells").alias("n")).first()
     rows = lines.where(F.get("cells", F.lit(0)) != key)
     vals = F.transform(F.slice("cells", 2, head["n"] - 1), lambda x: x.cast("double"))

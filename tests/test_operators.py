@@ -27,14 +27,45 @@ def test_correlated_pairs_in_blocks(spark):
         assert rows(pairs.correlated_pairs(df, 0.2, block), "a", "b") == want
 
 
-def test_decoys_do_not_correlate(spark):
+@pytest.mark.parametrize("threshold", [0.1, -0.55])
+def test_decoys_are_as_many_as_asked(spark, threshold):
+    """Also where hardly any pair is allowed, so that the last draws come from a list of all of them."""
     x = np.random.default_rng(4).random((20, 12))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vals array<double>")
-    got = pairs.decoy_pairs(df, 50, 0.1)
     r = np.corrcoef(x)
-    found = rows(got, "draw", "a", "b")
-    assert len(found) > 30 and all(a != b and r[a, b] <= 0.1 for _, a, b in found)
-    assert found == rows(pairs.decoy_pairs(df.repartition(7), 50, 0.1), "draw", "a", "b")
+    assert (r <= threshold).any()
+    found = rows(pairs.decoy_pairs(df, 50, threshold), "draw", "a", "b")
+    assert [d for d, _, _ in found] == list(range(50)) and all(a != b and r[a, b] <= threshold for _, a, b in found)
+    assert found == rows(pairs.decoy_pairs(df.repartition(7), 50, threshold), "draw", "a", "b")
+
+
+def test_no_decoys_where_all_pairs_correlate(spark):
+    df = spark.createDataFrame([(i, [float(i), 2.0 * i + 1, 3.0 * i + 5]) for i in range(1, 6)], "key long, vals array<double>")
+    assert pairs.decoy_pairs(df, 5, -1.1).count() == 0 and pairs.decoy_pairs(df, 0).count() == 0
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_wide_rows(spark, adaptive):
+    """Every row is there once, numbered in order, whatever borders an exchange draws."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(200_000, numPartitions=7).select(F.xxhash64("id").alias("key"), F.transform(F.sequence(F.lit(1), F.lit(72)), lambda k: k * F.rand(3)).alias("vals"))
+        got = pairs.number(wide, "key")
+        n, low, high, kinds = got.agg(F.count("*"), F.min("row"), F.max("row"), F.count_distinct("row")).first()
+        assert (n, low, high, kinds) == (200_000, 0, 199_999, 200_000)
+        assert got.join(got.select((F.col("row") + 1).alias("row"), F.col("key").alias("before")), "row").where("before > key").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_quantile_is_exact(spark):
+    x = np.random.default_rng(7).lognormal(size=5000)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for q in (0.0, 0.37, 0.9, 1.0):
+        assert specificity.quantile(df, "v", q).first()["v"] == pytest.approx(np.quantile(x, q), rel=1e-12)
+    assert specificity.quantile(df.limit(0), "v", 0.5).first()["v"] is None
+    assert specificity.quantile(df.where("v is null or v > 0").limit(1), "v", 0.5).count() == 1
 
 
 def test_pair_table_numbers(spark):
@@ -92,12 +123,18 @@ def test_desirability(spark):
     assert spark.range(1).select(network.desirability(F.lit(1.0), F.lit(0.8)).alias("x")).first()["x"] == pytest.approx(0.861774, abs=1e-6)
 
 
+def brute_row(x):
+    n, k, mean = len(x), (x > 0).sum(), x.mean()
+    sd = np.sqrt((((x - mean) ** 2).sum() + mean**2 * (n - k)) / (n - 1))
+    return x * (n / k) * max(1.0, sd / mean)
+
+
 def test_information_and_row_scores(spark):
     x = spark.createDataFrame([(0.75,), (0.5,), (0.0,), (1.0,)], "p double")
     assert [r["i"] for r in x.select(specificity.information(F.col("p")).alias("i")).collect()] == [2, 1, 0, None]
     m = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0)], "i int, j int, v double")
     assert [r["wd"] for r in specificity.wd_scores(m, 3).orderBy("j").collect()] == pytest.approx([3.674235, 1.837117], abs=1e-6)
-    assert specificity.wd_row(np.array([2.0, 1.0, 0.0])) == pytest.approx([3.674235, 1.837117, 0], abs=1e-6)
+    assert [r["wd"] for r in specificity.wd_scores(m, 3).orderBy("j").collect()] == pytest.approx(brute_row(np.array([2.0, 1.0, 0.0]))[:2])
 
 
 def test_null_scores_do_not_depend_on_tasks(spark):
