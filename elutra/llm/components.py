@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from elutra.llm.shared import stable
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Positions of links that span the same groups of 0..n-1 as all links a-b do; at most n-1 of them."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append(k)
-    return np.array(kept, dtype=np.int64)
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); component is the smallest node reachable.
 
