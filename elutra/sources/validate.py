@@ -26,14 +26,6 @@ class NaInMatrixError(InputError):
     pass
 
 
-class NaRowError(InputError):
-    pass
-
-
-class DuplicateRowError(InputError):
-    pass
-
-
 #: The columns that each kind of table must have, and those that must be unique together.
 REQUIRED = {
     "ids": (["Sample", "cond", "group", "short_id", "repl", "fr"], ["repl", "short_id"]),

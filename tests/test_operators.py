@@ -102,6 +102,21 @@ def test_error_control(scored):
     assert pep == sorted(pep) and all(0 <= x <= 1 for x in pep)
 
 
+def test_pi0_of_both_methods(spark):
+    """A cubic over the grid at its last point, and the grid's value of least estimated error, for p-values one by one."""
+    rng = np.random.default_rng(12)
+    p = np.round(np.concatenate([rng.random(600), rng.random(400) ** 6]), 3)
+    at, n = np.unique(p, return_counts=True)
+    df = spark.createDataFrame([("s", float(a), int(k), float(a)) for a, k in zip(at, n, strict=True)], "sample string, score double, nt long, pvalue double")
+    grid = np.arange(1, 20) / 20
+    share = np.array([(p >= x).mean() / (1 - x) for x in grid])
+    over = np.array([(p >= x).sum() for x in grid])
+    error = over / (len(p) * (1 - grid)) ** 2 * (1 - over / len(p)) + (share - np.percentile(share, 0.1)) ** 2
+    want = {"smoother": np.polyval(np.polyfit(grid, share, 3), grid[-1]), "bootstrap": share[error.argmin()], "scalar": 1.0}
+    for method, value in want.items():
+        assert fdr.pi0(df, method).first()["pi0"] == pytest.approx(min(1.0, value), abs=1e-9)
+
+
 def test_no_decoys_gives_no_p_values(scored):
     assert fdr.error_table(scored.where("not is_decoy")).count() == 0
 
