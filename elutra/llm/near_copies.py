@@ -4,8 +4,10 @@ SimHash fingerprints of the sets, searched in vantage-point trees, find most lin
 miss a prefix filter finds, which misses no pair: sets are read in one order common to all
 documents; of two sets with a similarity of 0.8 at least, each has one of the shared shingles among
 its first n - ceil(0.8 n) + 1. Any order will do; here shingles that are frequent in a sample of the
-documents come last, so that a line found in many documents makes no candidates. Every link is
-verified on the whole sets, in a join.
+documents come last, so that a line found in many documents makes no candidates. Candidates whose
+two fingerprints, of 128 bits together, differ in over 48 bits are left out: similar sets differ in
+19 bits or so, and in over 48 with a chance of some 10 to the -9. Every link is verified on the whole
+sets, in a join.
 
 A large group of copies doesn't cost its square: the trees give links that span it, and only
 documents that these don't join are compared any further: first with one other for each shingle of
@@ -30,6 +32,8 @@ SAMPLE, SHARE, MAX_OFTEN, OFTEN = 4096, 1 / 64, 100_000, 4
 #: Fingerprints of sets with a similarity of 0.8 differ in 10 bits or so. Links of at most 12 are candidates; the trees seek
 #: those with a part that differs in one bit at most.
 RULE = simhash.Rule(reach=12, trees=4, near=1)
+#: Most differing bits of both fingerprints of similar sets.
+MAX_BITS = 48
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,6 +100,12 @@ def _fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
 
 
+def _fingerprints(own: np.ndarray) -> tuple[int, int]:
+    """Of the shingles' hashes, and of these mixed once more."""
+    again = own.view(np.uint64) * _MIX
+    return _fingerprint(own), _fingerprint(((again ^ (again >> np.uint64(31))) * _MIX).view(np.int64))
+
+
 def group(docs: DataFrame) -> DataFrame:
     """doc_id and component_id for every row of ``docs`` (doc_id, text) with a doc_id.
 
@@ -112,13 +122,16 @@ def group(docs: DataFrame) -> DataFrame:
 
         def one(value: str) -> tuple:
             own = shingles(value)
-            return _node(own), len(own), _fingerprint(own), prefix(own, tokens, counts)
+            return _node(own), len(own), *_fingerprints(own), prefix(own, tokens, counts)
 
         return one
 
-    of_docs = docs.select("doc_id", per_text(read, "node long, n long, fp long, prefix array<long>", ["node", "n", "fp", "prefix"])(F.col("text")).alias("x"))
+    of_docs = docs.select("doc_id", per_text(read, "node long, n long, fp long, fp2 long, prefix array<long>", ["node", "n", "fp", "fp2", "prefix"])(F.col("text")).alias("x"))
     of_docs = _kept(of_docs.select("doc_id", "x.*"))
-    nodes = _kept(of_docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    nodes = _kept(of_docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
+    repeated = of_docs.groupBy("doc_id").count().where("count > 1").select("doc_id")  # ids of several rows
+
+    again = small_side(_kept(repeated))
 
     def read_sets():
         def one(value: str) -> tuple:
@@ -133,36 +146,47 @@ def group(docs: DataFrame) -> DataFrame:
         asked = _kept(asked.join(nodes.select(F.col("node").alias("asked"), F.col("first").alias("doc_id")), "asked"))
         own = per_text(read_sets, "node long, own array<long>", ["node", "own"])(F.col("text"))
         found = docs.join(small_side(asked), "doc_id").select("doc_id", "asked", own.alias("x")).select("doc_id", "asked", "x.*")
-        found = found.where("node = asked").dropDuplicates(["doc_id", "node"])  # of repeated rows one; they are in one place
-        return _kept(found.select("node", "own"))
+        found = _kept(found.where("node = asked").select("doc_id", "node", "own"))
+        if again.isEmpty():
+            return found.select("node", "own")
+        several = found.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "node"])  # of repeated rows one
+        return found.join(again, "doc_id", "left_anti").union(several.select("doc_id", "node", "own")).select("node", "own")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Those whose fingerprints are close enough."""
+        x, y = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("fp2").alias(f"fp2_{c}")) for c in "ab")
+        off = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) + F.bit_count(F.col("fp2_a").bitwiseXOR(F.col("fp2_b")))
+        return pairs.join(x, "a").join(y, "b").where(off <= MAX_BITS).select("a", "b")
 
     # Links that the trees find.
     with_words = nodes.where("n > 0")
     asked = simhash.links(with_words.select("node", "fp"), with_words.count(), RULE)
     asked = _kept(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    asked = _kept(plausible(asked))
     near = _kept(_verified(asked, sets(asked)))
     of_node = components(near)
 
     # Shingles of documents in several components. Rows of (token, node, c, spot): c is the component, a spot the size of
     # the set and the place in it, in one number to keep rows short.
-    index = of_docs.where("n > 1").select("doc_id", "node", "n", "prefix").join(nodes.select("node", F.col("first").alias("doc_id")), ["doc_id", "node"], "left_semi")
-    index = index.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("spot"))
+    index = of_docs.where("n > 1").select("doc_id", "node", "n", "prefix").join(small_side(nodes.select("node", F.col("first").alias("doc_id"))), ["doc_id", "node"], "left_semi")
+    index = index.join(small_side(_kept(of_node)), "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), F.posexplode("prefix").alias("at", "token"))
+    index = index.select("token", "node", "c", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("spot"))
     whole = Window.partitionBy("token")
 
-    def open_at(rows: DataFrame, known: DataFrame) -> DataFrame:
+    def open_at(rows: DataFrame) -> DataFrame:
         """Rows of tokens whose documents are in different components yet; repeated rows are harmless."""
-        at = rows.join(known, "node", "left").select("token", "node", "spot", F.coalesce("component", "node").alias("c"))
-        return at.withColumns({"low": F.min("c").over(whole), "high": F.max("c").over(whole)}).where("low <> high").select("token", "node", "spot", "c")
+        return rows.withColumns({"low": F.min("c").over(whole), "high": F.max("c").over(whole)}).where("low <> high").select("token", "node", "c", "spot")
 
     def possible(spot: str, other: str) -> Column:
         """By sizes, and by how much is left from the first shared shingle on."""
         (n, at), (m, to) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in (spot, other))
         return _similar(n, m, F.least(n - at, m - to))
 
-    index = _kept(open_at(index, of_node))
+    index = _kept(open_at(index))
     one = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "c").alias("h"), "c", "node", "spot")).over(whole)
     stars = index.withColumn("one", one).where("c <> one.c").select("node", "spot", F.col("one.node").alias("one"), F.col("one.spot").alias("one_spot")).where(possible("spot", "one_spot"))
-    stars = _kept(stars.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
+    stars = stars.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct()
+    stars = _kept(plausible(stars).join(asked, ["a", "b"], "left_anti"))
     tried = asked.union(stars)
     if not stars.isEmpty():
         more = _kept(_verified(stars, sets(stars)))
@@ -171,10 +195,11 @@ def group(docs: DataFrame) -> DataFrame:
             of_node = components(near)
 
     # What the stars have left open: pairs of a shingle in different components.
-    of_index = open_at(index.drop("c"), of_node)
-    x, y = of_index.toDF("token", "a", "spot", "c"), of_index.toDF("token", "b", "other", "d")
+    of_index = index.drop("c").join(of_node, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"), "spot")
+    of_index = _kept(open_at(of_index))
+    x, y = of_index.toDF("token", "a", "c", "spot"), of_index.toDF("token", "b", "d", "other")
     pairs = x.join(y, "token").where("a > b and c <> d").where(possible("spot", "other"))
-    pairs = _kept(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    pairs = _kept(plausible(pairs.select("a", "b").distinct()).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = _kept(_verified(pairs, sets(pairs)))
         if not more.isEmpty():
