@@ -16,7 +16,6 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -35,7 +34,7 @@ INNER_BLANK = re.compile(f" (?=[{SPACE}]|\\Z)(?<=[{SPACE}] )")
 #: How words begin that may stand after an inner blank: with white space, or not at all.
 ODD_BEGINS = frozenset(["", *re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001))))])
 #: Words whose ids a task remembers.
-MAX_WORDS = 150_000
+MAX_WORDS = 50_000
 
 
 class Recent:
@@ -77,7 +76,7 @@ class Transducer:
     place there is one guess at most, as the encoding of the bytes before it is unique.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
@@ -135,7 +134,7 @@ class Transducer:
             return own is not None
         key = last << 32 | token
         if key not in self.fits:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             ranks, left = self.ranks, self._edges(last)[1]
             self.fits[key] = not any((rank := ranks.get(x + y)) is not None and rank < x_ends and rank <= y_ends for x, x_ends in left for y, y_ends in own[0])
@@ -207,7 +206,7 @@ def splitter(pattern: str) -> regex.Pattern:
 class Pieces:
     """Ids of parts of texts, from those of the pieces that the pattern splits them into. Pieces met lately are looked up."""
 
-    def __init__(self, transducer: Transducer, pattern: str, most: int = 150_000):
+    def __init__(self, transducer: Transducer, pattern: str, most: int = 50_000):
         self.transducer, self.split, self.known = transducer, splitter(pattern).findall, Recent(most)
 
     def encode(self, parts: list[str]) -> Iterator[bytes]:
@@ -328,8 +327,8 @@ class StreamDecoder:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
+    """Made for each task anew: a Python worker that goes on with other work then doesn't hold its tables."""
     transducer = Transducer(read_ranks(path))
     return Encoder(Pieces(transducer, pattern).encode, MAX_WORDS), StreamDecoder(transducer.bytes_of)
 
