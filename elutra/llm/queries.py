@@ -87,6 +87,12 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import word_bpe
+
+    return word_bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_html_layout_text": op1_html_layout_text,
     "op2_bpe_transducer": op2_bpe_transducer,
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontam_string_tiling": op9_decontam_string_tiling,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
+    "op13_pair_index_bpe": op13_pair_index_bpe,
 }
 
 SQL: dict[str, str] = {}
