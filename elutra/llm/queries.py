@@ -87,6 +87,12 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from elutra.llm import word_bpe
 
@@ -104,7 +110,25 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontam_string_tiling": op9_decontam_string_tiling,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op13_pair_index_bpe": op13_pair_index_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_phrase_collocations": """
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3), (4)) AS sizes(k)),
+f AS (SELECT lang, CAST(k AS BIGINT) AS k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM frequent s JOIN frequent b ON s.lang = b.lang AND s.k < b.k AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= 80 * s.a),
+left_over AS (SELECT * FROM frequent ANTI JOIN covered USING (lang, phrase)),
+cuts AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM left_over),
+scored AS (SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+ FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1 : ], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+best AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000""",
+}
