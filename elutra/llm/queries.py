@@ -93,6 +93,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from elutra.llm import conversations
+
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from elutra.llm import word_bpe
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op9_decontam_string_tiling": op9_decontam_string_tiling,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_pair_index_bpe": op13_pair_index_bpe,
 }
 
