@@ -28,7 +28,7 @@ from elutra.operators.pairs import number
 #: Bytes of text in a chunk.
 CHUNK = 16 << 20
 #: Tiles for each doubling of the id; and how many cells for each pair in it a tile may have to be addressed directly.
-PARTS, DENSE = 4, 8
+PARTS, DENSE = 2, 8
 #: Cells that a task adds up directly; and coordinates that it gathers before it sums equal ones.
 CELLS, GATHERED = 1 << 21, 1 << 21
 
@@ -162,12 +162,16 @@ def squeezed(at: np.ndarray) -> np.ndarray:
 
 
 def _level(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """A chunk with what its numbers became (of, local, id), as tiles of pairs and a sequence of pairs."""
+    """A chunk with what its numbers became, as tiles of pairs and a sequence of pairs. ``known``: (of, local, id), or several in a row as bytes."""
     if not chunk.num_rows or not known.num_rows:
         return _ARROW.empty_table()
     at = np.frombuffer(chunk["at"][0].as_py(), np.int32)
     of = np.full(max(int(at.max(initial=0)), 0) + 2, -1, np.int64)
-    of[known["local"].to_numpy()] = known["id"].to_numpy()
+    if "local" in known.column_names:
+        of[known["local"].to_numpy()] = known["id"].to_numpy()
+    else:
+        local, ids = (b"".join(known[c].to_pylist()) for c in ("locals", "ids"))
+        of[np.frombuffer(local, np.int32)] = np.frombuffer(ids, np.int64)
     of[-1] = -1  # where -1 leads
     tiles, pairs = tiled(of[at])
     if not tiles:
@@ -241,22 +245,32 @@ def _sums(least: int):
     return run
 
 
+FOUND = pa.schema([("of", pa.int64()), ("locals", pa.binary()), ("ids", pa.binary())])
+
+
 def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(of, local, id): the pairs of a chunk's block that its tile's list of frequent ones has."""
+    """(of, locals, ids): of each chunk's blocks the pairs that are frequent. A tile's list of these comes before its blocks."""
     edge = borders()
     width = np.diff(edge, append=1 << 40)
-    schema = pa.schema([("of", pa.int64()), ("local", pa.int32()), ("id", pa.int64())])
+    now = None
     for batch in batches:
-        for chunk, row, col, base, codes, ids in zip(*(batch[c].to_pylist() for c in ("chunk", "tile_a", "tile_b", "base", "codes", "ids")), strict=True):
-            wide, known = int(width[col]), np.array([(x["a"], x["b"], x["id"]) for x in ids], np.int64)
-            wanted = (known[:, 0] - edge[row]) * wide + (known[:, 1] - edge[col])
-            order = np.argsort(wanted)
-            wanted, known = wanted[order], known[order, 2]
-            own = np.frombuffer(codes, code_type(int(width[row] * wide))).astype(np.int64)
-            k = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-            hit = np.flatnonzero(wanted[k] == own)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), chunk)), pa.array((base + hit).astype(np.int32)), pa.array(known[k[hit]])], schema=schema)
+        lists, out = batch["ids"], []
+        for k, (*tile, chunk, base, codes) in enumerate(zip(*(batch[c].to_pylist() for c in ("lang", "tile_a", "tile_b", "chunk", "base", "codes")), strict=True)):
+            row, col = tile[1:]
+            if chunk is None:
+                of = lists[k].values
+                a, b, ids = (of.field(c).to_numpy() for c in ("a", "b", "id"))
+                wanted = (a - edge[row]) * width[col] + (b - edge[col])
+                order = np.argsort(wanted)
+                now, wanted, ids = tile, wanted[order], ids[order]
+            elif tile == now:
+                own = np.frombuffer(codes, code_type(int(width[row] * width[col]))).astype(np.int64)
+                at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[at] == own)
+                if len(hit):
+                    out.append((chunk, (base + hit).astype(np.int32).tobytes(), ids[at[hit]].tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), FOUND, strict=True)], schema=FOUND)
 
 
 def ranked(frequent: DataFrame, *key: str) -> DataFrame:
@@ -316,7 +330,9 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
         phrases.append(stable(both.select("lang", "id", "a", "b", "f", F.concat_ws(" ", "phrase_a", "last_b").alias("phrase"), F.col("last_b").alias("last"), F.concat("left_a", F.array("f")).alias("left"), F.concat("right_b", F.array("f")).alias("right"))))
         if size < longest:
             lists = frequent.groupBy(*tiles).agg(F.collect_list(F.struct("a", "b", "id")).alias("ids"))
-            known = blocks.select("chunk", *tiles, "base", "codes").join(lists, tiles).select("chunk", "tile_a", "tile_b", "base", "codes", "ids").mapInArrow(_found, "of long, local int, id long")
+            # A tile's list and its blocks in one order, so that the list is sent to a task once.
+            both = blocks.select(*tiles, "chunk", "base", "codes").unionByName(lists, allowMissingColumns=True)
+            known = both.repartition(*tiles).sortWithinPartitions(*tiles, "chunk").mapInArrow(_found, "of long, locals binary, ids binary")
             sequence, before = level.where("at IS NOT NULL").select("chunk", "lang", "at"), str(size)
     kept.drop()
     return _best(phrases, n, most, cover)

@@ -30,7 +30,7 @@ def cheapest(rows):
 
     def go(k, cost, audit, out, put_in):
         initials = "".join(x[0] for x in out)
-        if not re.fullmatch("(s?(ua)*u?)?", initials):
+        if cost > 4 * len(rows) or not re.fullmatch("(s?(ua)*u?)?", initials):  # all rows may go
             return
         if k == len(rows) and re.fullmatch("(s?(ua)+)?", initials):
             best.append((cost, audit, out))
@@ -99,7 +99,7 @@ def sample(n, most, seed):
 @pytest.mark.parametrize("most_rows", [c.ROWS, 2])
 def test_equals_enumeration(spark, most_rows):
     """With pieces of two rows as well, and rows of equal turn, null turns and null ids."""
-    rows = sample(120, 5, 1)
+    rows = sample(80, 3, 1)
     got = c.repair(c.damaged(spark.createDataFrame(rows, SCHEMA)), most_rows=most_rows).collect()
     want = damaged(rows)
     assert len(got) == len(want) and {r["conv_id"] for r in got} == set(want)
@@ -121,8 +121,6 @@ def test_pieces_equal_wholes_on_long_conversations(spark):
 def test_one_conversation_of_equal_rows_in_pieces(spark):
     """All rows alike: one stays, the others are duplicates."""
     rows = [(7, None, "user", "Same.")] * 300 + [(7, None, "assistant", "Yes.")]
-    want = expected(damaged(rows)[7]) if zlib.crc32(b"7: ") % 20 not in (0, 1) else None
-    del want
     got = c.repair(c.damaged(spark.createDataFrame(rows, SCHEMA)), most_rows=50).collect()
     assert len(got) == 1
     kind = zlib.crc32(b"7: ") % 20
