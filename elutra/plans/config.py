@@ -31,6 +31,7 @@ class RunConfig:
     full_triangle: bool = False
     legacy_tabs: bool = False
     clusters: bool = False
+    inflations: tuple[float, float, int] = (1.1, 10.0, 500)  # the first, the last, and how many are tried
     seed: int = 0
     scorer: str = "logistic"  # or "mean"
     resume: bool = False
