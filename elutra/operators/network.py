@@ -14,20 +14,20 @@ def canonical(edges: DataFrame, order: str | None = None) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(last.alias("weight"))
 
 
-def symmetrize(edges: DataFrame) -> DataFrame:
+def symmetrize(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Both directions of every edge, weights of equal ones summed."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return edges.select("src", "dst", "weight").unionByName(back).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    back = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return edges.select(*by, "src", "dst", "weight").unionByName(back).groupBy(*by, "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def replicate_table(edges: DataFrame, replicates: list) -> DataFrame:
+def replicate_table(edges: DataFrame, replicates: list, by: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst, weight_0, ...): a column for each replicate, NULL where it lacks the edge. One shuffle."""
-    wide = edges.groupBy("src", "dst").pivot("replicate", replicates).agg(F.max("weight"))
-    return wide.select("src", "dst", *[F.col(f"`{r}`").alias(f"weight_{k}") for k, r in enumerate(replicates)])
+    wide = edges.groupBy(*by, "src", "dst").pivot("replicate", replicates).agg(F.max("weight"))
+    return wide.select(*by, "src", "dst", *[F.col(f"`{r}`").alias(f"weight_{k}") for k, r in enumerate(replicates)])
 
 
 def outer_max(wide: DataFrame) -> DataFrame:
@@ -36,8 +36,12 @@ def outer_max(wide: DataFrame) -> DataFrame:
     return wide.select("src", "dst", (F.greatest(*columns) if len(columns) > 1 else columns[0]).alias("weight"))
 
 
-def combine(edges: DataFrame, n_replicates: int, mode: str = "max", by: tuple[str, ...] = ()) -> DataFrame:
-    """One weight for each edge over its replicates: the largest, the mean or the product; absent ones count as 0."""
+def combine(edges: DataFrame, n_replicates: int | str, mode: str = "max", by: tuple[str, ...] = ()) -> DataFrame:
+    """One weight for each edge over its replicates: the largest, the mean or the product; absent ones count as 0.
+
+    With ``by``, for each of its values; ``n_replicates`` may then be a column that has their number.
+    """
+    n_replicates = F.max(n_replicates) if isinstance(n_replicates, str) else n_replicates
     value: Column = {
         "max": F.max("weight"),
         "mean": F.sum("weight") / n_replicates,
@@ -57,16 +61,16 @@ def desirability(freq: Column, prob: Column, w_freq: float = 0.5, w_prob: float
     return F.when((freq > 0) & (prob > 0), mean).otherwise(F.lit(0.0))
 
 
-def edge_list(edges: DataFrame, floor: float = 0.5) -> DataFrame:
+def edge_list(edges: DataFrame, floor: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     """(prot_a, prot_b, comb_prob, confidence) of edges from ``floor`` on, without self-loops."""
     kept = edges.where((F.col("src") != F.col("dst")) & (F.col("weight") >= floor))
-    return kept.select(F.col("src").alias("prot_a"), F.col("dst").alias("prot_b"), F.col("weight").alias("comb_prob"), names.confidence(F.col("weight")).alias("confidence"))
+    return kept.select(*by, F.col("src").alias("prot_a"), F.col("dst").alias("prot_b"), F.col("weight").alias("comb_prob"), names.confidence(F.col("weight")).alias("confidence"))
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
+def neighbours(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(protein, interactors, n): the sorted neighbours of each vertex in one string, and how many."""
-    both = symmetrize(edges).where("src <> dst")
-    return both.groupBy(F.col("src").alias("protein")).agg(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ", ").alias("interactors"), F.count("*").alias("n"))
+    both = symmetrize(edges, by).where("src <> dst")
+    return both.groupBy(*by, F.col("src").alias("protein")).agg(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ", ").alias("interactors"), F.count("*").alias("n"))
 
 
 def cross_condition_max(edges: DataFrame, merge_scope: str = "last") -> DataFrame:

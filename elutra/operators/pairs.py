@@ -26,26 +26,37 @@ def _unit(vals: pd.Series) -> np.ndarray:
         return x / norm
 
 
-def correlated_pairs(profiles: DataFrame, threshold: float | None = 0.4, block: int = BLOCK) -> DataFrame:
+def correlated_pairs(profiles: DataFrame, threshold: float | None = 0.4, block: int = BLOCK, by: str | None = None) -> DataFrame:
     """(a, b, r) with a < b for pairs of ``profiles`` (key, vals) whose Pearson correlation is over ``threshold``.
 
     None gives all pairs with a correlation. The matrix of all pairs is cut into blocks of keys by
     keys; a task holds two blocks of profiles and emits hits only. Memory doesn't grow with the table.
+    With ``by``, pairs are made within each of its values, in one job for all of them, and have it as a column.
     """
-    return _pairs_where(profiles, np.isfinite if threshold is None else lambda r: r > threshold, block)
+    return _pairs_where(profiles, np.isfinite if threshold is None else lambda r: r > threshold, block, by)
 
 
-def _pairs_where(profiles: DataFrame, holds: Callable[[np.ndarray], np.ndarray], block: int = BLOCK) -> DataFrame:
-    n_blocks = max(1, -(-profiles.count() // block))
-    kind = dict(profiles.dtypes)["key"]
-    own = profiles.select("key", F.transform("vals", lambda x: x.cast("double")).alias("vals")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+def sizes_by(df: DataFrame, by: str, out: str = "n") -> DataFrame:
+    """(by, n): a row for each value of ``by``."""
+    return df.groupBy(by).agg(F.count("*").alias(out))
+
+
+def _pairs_where(profiles: DataFrame, holds: Callable[[np.ndarray], np.ndarray], block: int = BLOCK, by: str | None = None) -> DataFrame:
+    types = dict(profiles.dtypes)
+    kind, group = types["key"], [by] if by else []
+    own = profiles.select(*group, "key", F.transform("vals", lambda x: x.cast("double")).alias("vals"))
+    if by:
+        own = own.join(sizes_by(profiles, by, "_n"), by).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    else:
+        own = own.withColumn("_blocks", F.lit(max(1, -(-profiles.count() // block))))
+    own = own.withColumn("part", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
 
     def within(key, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = key
+        *of, low, high = key
         x, y = frame[frame["part"] == low], frame[frame["part"] == high]
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "r": []})
+            return pd.DataFrame({c: [] for c in [*group, "a", "b", "r"]})
         with np.errstate(invalid="ignore"):
             r = _unit(x["vals"]) @ _unit(y["vals"]).T
             i, j = np.nonzero(holds(r))
@@ -54,13 +65,17 @@ def _pairs_where(profiles: DataFrame, holds: Callable[[np.ndarray], np.ndarray],
             keep = a < b
             a, b, r = a[keep], b[keep], r[keep]
         swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "r": r})
+        return pd.DataFrame({**{c: np.full(len(r), v, object) for c, v in zip(group, of, strict=True)}, "a": np.where(swap, b, a), "b": np.where(swap, a, b), "r": r})
 
-    return spread.groupBy("low", "high").applyInPandas(within, f"a {kind}, b {kind}, r double")
+    schema = ", ".join([*(f"{c} {types[c]}" for c in group), f"a {kind}, b {kind}, r double"])
+    return spread.groupBy(*group, "low", "high").applyInPandas(within, schema)
 
 
-def prior_pairs(prior: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose both ends have a profile."""
+def prior_pairs(prior: DataFrame, profiles: DataFrame, by: str | None = None) -> DataFrame:
+    """The pairs (a, b) whose both ends have a profile. With ``by``, for each of its values that has both."""
+    if by:
+        a, b = (profiles.select(by, F.col("key").alias(c)).distinct() for c in "ab")
+        return prior.join(a, "a").join(b, [by, "b"]).select(by, "a", "b")
     keys = profiles.select("key")
     return prior.join(keys, prior["a"] == keys["key"], "left_semi").join(keys.withColumnRenamed("key", "key_b"), F.col("b") == F.col("key_b"), "left_semi")
 
@@ -73,38 +88,42 @@ def attach_profiles(pairs: DataFrame, profiles: DataFrame, values: str = "vals")
 
 
 def decoy_pairs(profiles: DataFrame, k: int, threshold: float = 0.4, seed: int = 0, tries: int = 4) -> DataFrame:
-    """``k`` pairs (draw, a, b) of profiles that don't correlate over ``threshold``, drawn with replacement.
+    """``k`` pairs (draw, a, b) of profiles that don't correlate over ``threshold``, drawn with replacement. See ``decoys_by``."""
+    spark = profiles.sparkSession
+    wanted = spark.createDataFrame([(0, k)], "_all int, k long")
+    return decoys_by(profiles.withColumn("_all", F.lit(0)), wanted, "_all", threshold, seed, tries).drop("_all")
+
+
+def decoys_by(profiles: DataFrame, wanted: DataFrame, by: str, threshold: float = 0.4, seed: int = 0, tries: int = 4) -> DataFrame:
+    """(by, draw, a, b): for each row (by, k) of ``wanted``, k pairs of that group's profiles that don't correlate over ``threshold``.
 
     Draw i takes the first of its hashed pairs that is no self-pair and doesn't correlate, so draws
-    need neither the matrix of all pairs nor an order of execution. Draws that fail are drawn again
-    in rounds. Once a round fills under a hundredth of them, pairs that don't correlate are so few
-    that all of them are listed, and the rest is drawn from the list. If there are none, the result is empty.
+    need neither the matrix of all pairs nor an order of execution, and a group's don't depend on other groups. Draws that
+    fail are drawn again in rounds, all groups together. Once a round fills under a hundredth of them, pairs that don't correlate
+    are so few that all of the groups that still lack some are listed, and the rest is drawn from the lists. Groups without such pairs have no decoys.
     """
-    spark, kind = profiles.sparkSession, dict(profiles.dtypes)["key"]
-    n = profiles.count()
-    empty = spark.createDataFrame([], f"draw long, a {kind}, b {kind}")
-    if n < 2 or k < 1:
-        return empty
-    numbered = number(profiles.select("key", "vals"), "key").select(F.col("row").alias("at"), "key", "vals")
-    x, y = (numbered.select(F.col("at").alias(i), F.col("key").alias(c), F.col("vals").alias(f"f{c}")) for i, c in (("i", "a"), ("j", "b")))
-    left, n_left, first, found = spark.range(k).withColumnRenamed("id", "draw"), k, 0, None
+    keyed = numbered_by(profiles.select(by, "key", "vals"), by, "key").select(by, F.col("row").alias("at"), "key", "vals")
+    keyed = keep(keyed)
+    x, y = (keyed.select(by, F.col("at").alias(i), F.col("key").alias(c), F.col("vals").alias(f"f{c}")) for i, c in (("i", "a"), ("j", "b")))
+    sizes = wanted.join(sizes_by(keyed, by), by).where("n > 1 and k > 0")
+    left = keep(sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("draw")))
+    n_left, first, found = left.count(), 0, None
     while n_left:
         asked = left.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
-        asked = asked.select("draw", "try", *[F.pmod(hashed(F.lit(seed), F.lit(end), F.col("draw"), F.col("try")), F.lit(n)).alias(end) for end in ("i", "j")]).where("i <> j")
-        ok = asked.join(x, "i").join(y, "j").where(p.pearson(F.col("fa"), F.col("fb")) <= threshold)
-        got = keep(ok.groupBy("draw").agg(F.min_by(F.struct("a", "b"), "try").alias("x")).select("draw", "x.a", "x.b"))
+        asked = asked.select(by, "draw", "try", *[F.pmod(hashed(F.lit(seed), F.lit(end), F.col("draw"), F.col("try")), F.col("n")).alias(end) for end in ("i", "j")]).where("i <> j")
+        ok = asked.join(x, [by, "i"]).join(y, [by, "j"]).where(p.pearson(F.col("fa"), F.col("fb")) <= threshold)
+        got = keep(ok.groupBy(by, "draw").agg(F.min_by(F.struct("a", "b"), "try").alias("x")).select(by, "draw", "x.a", "x.b"))
         found = got if found is None else found.union(got)
         n_got = got.count()
-        left, first = keep(left.join(got, "draw", "left_anti")), first + tries
+        left, first = keep(left.join(got, [by, "draw"], "left_anti")), first + tries
         n_left -= n_got
         if n_left and n_got * 100 < n_got + n_left:
-            allowed = number(_pairs_where(profiles, lambda r: r <= threshold).select("a", "b"), "a", "b")
-            n_allowed = allowed.count()
-            if not n_allowed:
-                return empty
-            chosen = left.withColumn("row", F.pmod(hashed(F.lit(seed), F.lit("list"), F.col("draw")), F.lit(n_allowed)))
-            return found.union(chosen.join(allowed, "row").select("draw", "a", "b"))
-    return found
+            poor = keyed.join(left.select(by).distinct(), by, "left_semi")
+            allowed = numbered_by(_pairs_where(poor, lambda r: r <= threshold, by=by).select(by, "a", "b"), by, "a", "b")
+            chosen = left.select(by, "draw").join(sizes_by(allowed, by), by).withColumn("row", F.pmod(hashed(F.lit(seed), F.lit("list"), F.col("draw")), F.col("n")))
+            return found.union(chosen.join(allowed, [by, "row"]).select(by, "draw", "a", "b"))
+    types = dict(profiles.dtypes)
+    return profiles.sparkSession.createDataFrame([], f"{by} {types[by]}, draw long, a {types['key']}, b {types['key']}") if found is None else found
 
 
 def hashed(*columns: Column) -> Column:
@@ -126,16 +145,27 @@ def number(df: DataFrame, *order: str, out: str = "row") -> DataFrame:
     return joined.withColumn(out, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_id", "_part", "_before")
 
 
-def pair_table(positives: DataFrame, decoys: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def numbered_by(df: DataFrame, by: str, *order: str, out: str = "row") -> DataFrame:
+    """Rows numbered from 0 within each value of ``by``: places in all rows, less the group's first place."""
+    told = number(df, by, *order, out=out)
+    first = told.groupBy(by).agg(F.min(out).alias("_first"))
+    return told.join(first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first").select(*df.columns, out)
+
+
+def pair_table(positives: DataFrame, decoys: DataFrame, prior: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(id, a, b, mb, is_decoy): positives numbered ppi_1.. in order, then prior pairs, then decoys DECOY_ppi_.. on from there.
 
     Numbers are given before self-pairs are dropped. Pairs that are both correlated and prior stay twice.
+    With ``by``, each of its values has numbers of its own.
     """
-    both = positives.select("a", "b", F.lit(0).alias("kind"))
-    both = both if prior is None else both.unionByName(prior.select("a", "b", F.lit(1).alias("kind")))
-    told = number(both, "kind", "a", "b").select("a", "b", F.concat(F.lit("ppi_"), (F.col("row") + 1).cast("string")).alias("id"), F.lit(False).alias("is_decoy"))
-    n = both.where("a <> b").count()
-    wrong = number(decoys.select("a", "b"), "a", "b").select("a", "b", F.concat(F.lit("DECOY_ppi_"), (F.col("row") + n + 1).cast("string")).alias("id"), F.lit(True).alias("is_decoy"))
+    key = by or "_all"
+    positives, decoys, prior = (x if x is None or by else x.withColumn(key, F.lit(0)) for x in (positives, decoys, prior))
+    both = positives.select(key, "a", "b", F.lit(0).alias("kind"))
+    both = both if prior is None else both.unionByName(prior.select(key, "a", "b", F.lit(1).alias("kind")))
+    told = numbered_by(both, key, "kind", "a", "b").select(key, "a", "b", F.concat(F.lit("ppi_"), (F.col("row") + 1).cast("string")).alias("id"), F.lit(False).alias("is_decoy"))
+    n = sizes_by(both.where("a <> b"), key)
+    wrong = numbered_by(decoys.select(key, "a", "b"), key, "a", "b").join(n, key, "left")
+    wrong = wrong.select(key, "a", "b", F.concat(F.lit("DECOY_ppi_"), (F.col("row") + F.coalesce("n", F.lit(0)) + 1).cast("string")).alias("id"), F.lit(True).alias("is_decoy"))
     x, y = F.col("a").cast("string"), F.col("b").cast("string")
-    key = F.when(F.col("is_decoy"), names.pair_key(x, y, decoy=True)).otherwise(names.pair_key(x, y))
-    return told.unionByName(wrong).where("a <> b").select("id", "a", "b", key.alias("mb"), "is_decoy")
+    mb = F.when(F.col("is_decoy"), names.pair_key(x, y, decoy=True)).otherwise(names.pair_key(x, y))
+    return told.unionByName(wrong).where("a <> b").select(*([by] if by else []), "id", "a", "b", mb.alias("mb"), "is_decoy")

@@ -63,6 +63,21 @@ def _r(expression: str, name: str | None = None) -> str:
     return f"round({expression}, 6) + 0.0 AS {name or expression}"
 
 
+NATION = (
+    EDGES + ", " + HEAVY.format(0.75) + ", inside AS (SELECT src, dst, weight FROM heavy JOIN supplier x ON src = x.s_suppkey JOIN supplier y ON dst = y.s_suppkey WHERE x.s_nationkey = y.s_nationkey), "
+    + SYM.format("inside") + ", ent AS (SELECT src AS i, dst AS j, weight AS v FROM sym)"
+)
+
+
+def _rounds(powers: str, n: int) -> str:
+    """The tables of ``n`` rounds of Markov clustering by each power, of which the last is r{n}."""
+    steps = f"""ids AS (SELECT DISTINCT i FROM ent), lp AS (SELECT g, i, j, v FROM (SELECT i, j, v FROM ent UNION ALL SELECT i, i, 1.0 FROM ids) a, (SELECT unnest({powers})::DOUBLE AS g) b),
+ r0 AS MATERIALIZED (SELECT g, i, j, v / sum(v) OVER (PARTITION BY g, j) AS v FROM lp)"""
+    for k in range(n):
+        steps += f""", e{k} AS MATERIALIZED (SELECT g, i, j, pow(v, g) AS v FROM (SELECT a.g, a.i, b.j, sum(a.v * b.v) AS v FROM r{k} a JOIN r{k} b ON a.g = b.g AND a.j = b.i GROUP BY 1, 2, 3)),
+ r{k + 1} AS MATERIALIZED (SELECT g, i, j, v FROM (SELECT g, i, j, v / sum(v) OVER (PARTITION BY g, j) AS v, row_number() OVER (PARTITION BY g, j ORDER BY v DESC, i) AS n FROM e{k}) WHERE v >= 0.001 OR n = 1)"""
+    return steps + f""", sets AS (SELECT DISTINCT g, list_sort(list(j)) AS members FROM r{n} WHERE v <> 0 AND (g, i) IN (SELECT (g, i) FROM r{n} WHERE i = j AND v <> 0) GROUP BY g, i)"""
+
 SQL: dict[str, str] = {
     "scan_matrix": f"WITH {PROF} SELECT key, idx, {_r('nullif(v, 0)', 'v')} FROM prof",
     "scan_matrix_legacy": f"WITH {PROF} SELECT key, (row_number() OVER (PARTITION BY key ORDER BY idx) - 1)::INT AS idx, {_r('2 * v', 'v')} FROM prof WHERE v <> 0",
@@ -186,4 +201,16 @@ SQL: dict[str, str] = {
     "profile_network": f"""WITH {PROF}, enough AS (SELECT * FROM prof WHERE key IN (SELECT key FROM prof GROUP BY 1 HAVING count_if(v > 0) >= 2)), {GAP.format('enough')}, {GRID.format('gap')}, {SCALE.format('grid')},
       cor AS (SELECT x.key AS a, y.key AS b, corr(x.v, y.v) AS r FROM scale x JOIN scale y ON x.idx = y.idx AND x.key < y.key GROUP BY 1, 2), e AS (SELECT a, b, (r + 1) / 2 AS w FROM cor WHERE isfinite(r) AND r > 0.2)
       SELECT a AS prot_a, b AS prot_b, round(w, 6) + 0.0 AS comb_prob, CASE WHEN w > 0.9 THEN 'High' WHEN w > 0.75 THEN 'Medium' ELSE 'Low' END AS confidence FROM e""",
+    "condition_corr_pairs": f"WITH {VEC}, {CORR.format('vec')} SELECT (la % 3)::INT AS cond, a, b, {_r('r')} FROM cor WHERE la % 3 = lb % 3 AND r > 0.4 AND isfinite(r)",
+    "condition_specificity": f"""WITH {DIR.replace('{1}', ', l_returnflag, l_linestatus')},
+      comb AS (SELECT l_returnflag AS cond, src, dst, max(weight) AS weight FROM edg GROUP BY 1, 2, 3), kept AS (SELECT * FROM comb WHERE weight >= 0.75),
+      n AS (SELECT cond, count(DISTINCT id) AS n FROM (SELECT cond, src AS id FROM kept UNION ALL SELECT cond, dst FROM kept) GROUP BY 1),
+      x AS (SELECT cond, i, j, -log2(1 - sum(w)) AS v FROM (SELECT cond, src AS i, dst AS j, weight AS w FROM kept UNION ALL SELECT cond, dst, src, weight FROM kept) GROUP BY 1, 2, 3),
+      st AS (SELECT cond, i, sum(v) AS s1, sum(v * v) AS s2, count(*) AS k, any_value(n)::DOUBLE AS n FROM x JOIN n USING (cond) GROUP BY 1, 2)
+      SELECT cond, x.i, x.j, round(x.v * (n / k) * greatest(1, sqrt((s2 - n * pow(s1 / n, 2) + pow(s1 / n, 2) * (n - k)) / (n - 1)) / (s1 / n)), 6) + 0.0 AS wd FROM x JOIN st USING (cond, i)""",
+    "connected_parts": f"""WITH RECURSIVE {NATION}, way(id, k) AS (SELECT DISTINCT i, i FROM ent UNION SELECT way.id, ent.j FROM way JOIN ent ON way.k = ent.i)
+      SELECT id, min(k) AS component FROM way GROUP BY 1""",
+    "mcl_grid": f"WITH {NATION}, {_rounds('[1.5, 2.0, 3.0]', 40)} SELECT g AS inflation, array_to_string(members, ';') AS members FROM sets",
+    "mcl_clusters": f"""WITH {NATION}, {_rounds('[2.0]', 40)}, num AS (SELECT members, row_number() OVER (ORDER BY members) AS n FROM sets WHERE len(members) > 1)
+      SELECT n::INT AS "ComplexID", 'cmplx_' || n AS "ComplexName", array_to_string(members, ';') AS "subunits(Gene name)" FROM num""",
 }

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from elutra.functions import names, signal
 from elutra.functions import profiles as p
 from elutra.operators import cluster, fdr, features, network, pairs, specificity
+from elutra.operators.components import components
+from elutra.plans import pipeline
+from elutra.plans.config import RunConfig
 from elutra.plans.stages import shared_folder
 from elutra.sources import sinks, tables, validate
 
@@ -349,6 +352,13 @@ def corr_pairs(spark, sf):
     return pairs.correlated_pairs(vectors(spark, sf), 0.4).select("a", "b", r6("r").alias("r"))
 
 
+@query
+def condition_corr_pairs(spark, sf):
+    """Correlated pairs within each of three conditions, in one job."""
+    v = vectors(spark, sf).where("label is not null").withColumn("cond", F.pmod("label", F.lit(3)).cast("int"))
+    return pairs.correlated_pairs(v, 0.4, by="cond").select("cond", "a", "b", r6("r").alias("r"))
+
+
 @query
 def cosine_similarity(spark, sf):
     return vector_pairs(spark, sf).select("a", "b", r6(p.cosine(F.col("fa"), F.col("fb"))).alias("cosine"))
@@ -627,6 +637,16 @@ def wd_score(spark, sf):
     return _scores(spark, sf).select("i", "j", r6("wd").alias("wd"))
 
 
+@query
+def condition_specificity(spark, sf):
+    """Replicates of three conditions merged, and row scores in each condition's network, in one job."""
+    told = edges(spark, sf, "l_returnflag", "l_linestatus").withColumn("sample", F.concat("l_returnflag", "l_linestatus"))
+    samples = told.select("sample", F.col("l_returnflag").alias("cond"), F.col("l_linestatus").alias("replicate")).distinct()
+    merged = pipeline.by_condition(told.select("sample", "src", "dst", "weight"), samples)
+    found = pipeline.specificity_by_condition(merged, RunConfig(probability_floor=0.75))
+    return found.select("cond", "i", "j", r6("wd").alias("wd"))
+
+
 @query
 def quantile_normalize(spark, sf):
     return specificity.quantile_normalize(_scores(spark, sf)).select("i", "j", r6("wd").alias("wd"))
@@ -684,10 +704,28 @@ def mcl_iterate(spark, sf):
     return cluster.iterate(cluster.normalize(matrix(spark, sf))).select("i", "j", r6("v").alias("v"))
 
 
+def nation_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of a network of many parts: edges from a weight of 0.75 on whose suppliers are of one nation."""
+    x, y = (table(spark, sf, "supplier").select(F.col("s_suppkey").alias(c), F.col("s_nationkey").alias(f"n_{c}")) for c in ("src", "dst"))
+    inside = edges(spark, sf).where("weight >= 0.75").join(x, "src").join(y, "dst").where("n_src = n_dst")
+    return network.symmetrize(inside).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
+
+
 @query
 def mcl_clusters(spark, sf):
-    m = network.symmetrize(edges(spark, sf).where("weight >= 0.8")).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
-    return cluster.cluster_table(cluster.clusters(cluster.run_mcl(m)))
+    return cluster.cluster_table(cluster.clusters(cluster.run_mcl_grid(nation_matrix(spark, sf), [2.0])).select("members"))
+
+
+@query
+def mcl_grid(spark, sf):
+    """Clusters by inflation, all inflations in one job."""
+    found = cluster.clusters(cluster.run_mcl_grid(nation_matrix(spark, sf), [1.5, 2.0, 3.0]), ("inflation",))
+    return found.select("inflation", F.array_join(F.transform("members", lambda x: x.cast("string")), ";").alias("members"))
+
+
+@query
+def connected_parts(spark, sf):
+    return components(nation_matrix(spark, sf))
 
 
 @query

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from elutra.operators.network import symmetrize
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", header).csv(path)
+def write_tsv(df: DataFrame, path: str, header: bool = True, by: str | None = None) -> None:
+    """With ``by``, a folder for each of its values; an earlier run's folders of other values stay."""
+    writer = df.write.mode("overwrite")
+    writer = writer.partitionBy(by).option("partitionOverwriteMode", "dynamic") if by else writer
+    writer.option("sep", "\t").option("header", header).csv(path)
 
 
 def wide_matrix(profiles: DataFrame, points: int = 72) -> DataFrame:
@@ -39,8 +42,9 @@ def dense_adjacency(edges: DataFrame, ids: list) -> DataFrame:
 
 def probability_table(wide: DataFrame) -> DataFrame:
     """Both directions of a table of replicates, in order of its keys."""
-    back = wide.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in wide.columns if c.startswith("weight_")])
-    return wide.unionByName(back).orderBy("src", "dst")
+    rest = [c for c in wide.columns if c not in ("src", "dst")]
+    back = wide.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
+    return wide.unionByName(back).orderBy(*[c for c in rest if not c.startswith("weight_")], "src", "dst")
 
 
 def write_config(spark: SparkSession, config: object, path: str) -> None:

@@ -50,6 +50,34 @@ def read_matrix(spark: SparkSession, path: str, key: str = "GN", legacy: bool =
     return last_wins(rows.select(F.get("cells", F.lit(0)).alias("key"), vals.alias("v"), "row_idx"), "key", "v", "row_idx", "vals")
 
 
+def read_matrices(spark: SparkSession, files: list[tuple[str, str]], key: str = "GN", legacy: bool = False) -> DataFrame:
+    """(sample, key, vals) of all ``files`` [(sample, path)], in one scan however many they are.
+
+    Each file has a heading of its own, the line with the cell ``key``; cells are apart by tabs and not quoted. Legacy mode is that of ``read_matrix``.
+    """
+
+    def address(path: str) -> str:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toUri().toString()
+
+    same = lambda c: F.regexp_replace(c, "^([^:/]+):/+", "$1:/")
+    of = F.broadcast(spark.createDataFrame([(s, address(p)) for s, p in files], "sample string, _path string"))  # a row for each file of the sheet
+    lines = with_row_order(spark.read.text([p for _, p in files]).select("value", F.col("_metadata.file_path").alias("_file")))
+    cells = F.split(F.regexp_replace("value", "\\s+$", ""), "\t+") if legacy else F.split("value", "\t")
+    rows = lines.where("value <> ''").withColumn("cells", cells).join(of, same(F.col("_file")) == same(F.col("_path"))).select("sample", "row_idx", "cells")
+    at = F.array_position("cells", F.lit(key)).cast("int")
+    is_head = (F.get("cells", F.lit(0)) == key) if legacy else at > 0
+    heads = F.broadcast(rows.where(is_head).groupBy("sample").agg(F.min_by(F.struct(at.alias("at"), F.size("cells").alias("n")), "row_idx").alias("head"), F.min("row_idx").alias("_first")))
+    body = rows.join(heads, "sample")
+    if legacy:  # the heading may come again
+        vals = F.transform(F.slice("cells", 2, F.col("head.n") - 1), lambda x: x.cast("double"))
+        body = body.where(~is_head).select("sample", F.get("cells", F.lit(0)).alias("key"), vals.alias("v"), "row_idx")
+        return body.groupBy("sample", "key").agg(F.max_by("v", "row_idx").alias("vals"))
+    places = F.filter(F.sequence(F.lit(1), F.col("head.n")), lambda k: k != F.col("head.at"))
+    vals = F.transform(places, lambda k: F.nullif(F.get("cells", k - 1), F.lit("")).cast("double"))
+    return body.where("row_idx > _first").select("sample", F.get("cells", F.col("head.at") - 1).alias("key"), vals.alias("vals"))
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, SHEET)
 
