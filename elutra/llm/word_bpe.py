@@ -21,13 +21,15 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from elutra.llm.shared import per_batch
 
 #: Words met lately that a task keeps, and characters of text that are laid out together.
 MAX_WORDS, TOGETHER = 100_000, 4_000_000
-#: What Python splits texts at though Unicode doesn't call it white space.
-OTHER_SPACE = re.compile("[\x1c-\x1f]")
+#: Beyond these letters and signs, versions of Unicode differ in what composes, what has a lower case and what is a letter;
+#: there the tokenizer file's own normalizer and splitter decide.
+UNSETTLED = re.compile("[^\t-\r\x20-\x7e\xa0-\u02ff\u0370-\u0482\u048a-\u0556\u2010-\u2027\u2030-\u205e\u3001-\u3029\u3030-\u3096\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 def byte_letters() -> list[str]:
@@ -60,17 +62,26 @@ class Vocabulary:
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
         self.whole = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
+        #: The file's normalizer and splitter, without its model.
+        self.library = Tokenizer.from_str(json.dumps(told | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+
+    def split(self, text: str) -> list[str]:
+        """Words of a text without whole tokens."""
+        if UNSETTLED.search(text) is None:
+            return self.words(normal(text))
+        text = self.library.normalizer.normalize_str(text)
+        return [text[s:e] for _, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order, and the whole tokens in it, which are looked for before it is normalized."""
         if self.whole is None or "<" not in text:
-            return self.words(normal(text))
+            return self.split(text)
         out: list[str] = []
         for k, part in enumerate(self.whole.split(text)):
             if k % 2:
                 out.append(part)
             elif part:
-                out += self.words(normal(part))
+                out += self.split(part)
         return out
 
 
@@ -220,7 +231,7 @@ class Coder:
     def split(self, text: str) -> list[str]:
         """The stretches of a text. Words never reach over white space, so each can be read by itself."""
         v = self.vocabulary
-        if (v.whole is not None and "<" in text) or OTHER_SPACE.search(text):
+        if (v.whole is not None and "<" in text) or UNSETTLED.search(text):
             return v.pieces(text)
         return normal(text).split()
 
@@ -230,7 +241,9 @@ class Coder:
             return [stretch]
         if stretch[-1] in ",.;:!?" and stretch[:-1].isalpha():
             return [stretch[:-1], stretch[-1]]
-        return [stretch] if stretch in self.vocabulary.added else self.vocabulary.words(stretch)
+        if stretch in self.vocabulary.added or UNSETTLED.search(stretch):  # the latter only as words of a text that was split before
+            return [stretch]
+        return self.vocabulary.words(stretch)
 
     def learn(self, stretches: set[str]) -> None:
         """Makes ``stretches`` hold at least these: their ids, and ids and tokens as text."""
