@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from elutra.operators import cluster, fdr, features, network, pairs, specificity
-from elutra.operators.running import running
+from elutra.operators.running import in_ranges, running
 from elutra.sources import tables, validate
 
 
@@ -80,11 +80,32 @@ def test_running_matches_plain_sums(spark):
     x = [(s, float(v), i + 1) for s in "ab" for i, v in enumerate(np.random.default_rng(5).random(50))]
     df = spark.createDataFrame(x, "sample string, x double, n int")
     for up, strict in ((True, False), (False, True)):
-        got = {(r["sample"], r["x"]): r["out"] for r in running(df, ["sample"], "x", "n", "out", ascending=up, strict=strict, buckets=8).collect()}
+        got = {(r["sample"], r["x"]): r["out"] for r in running(df, ["sample"], "x", "n", "out", ascending=up, strict=strict).collect()}
         for s, v, _ in x:
             assert got[s, v] == sum(n for t, w, n in x if t == s and ((w < v if up else w > v) or (w == v and not strict)))
 
 
+def test_ranges_fit_values_that_lie_close_together(spark):
+    """All scores within 1e-4, most of them of one sample: ranges are still about equal, and sums right."""
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "false")
+    spark.conf.set(names[1], "16")
+    try:
+        n = 40_000
+        df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("sample"), (0.5 + F.col("id") * 1e-4 / n).alias("x"), (F.col("id") % 7).alias("n"))
+        counts = [r["count"] for r in in_ranges(df, ["sample"], "x").groupBy("_bucket").count().collect()]
+        assert len(counts) >= 12 and max(counts) < 3 * n / 16
+        for up in (True, False):
+            got = running(df, ["sample"], "x", "n", "out", ascending=up)
+            want = df.toPandas().sort_values("x", ascending=up)
+            want["out"] = want.groupby("sample")["n"].cumsum()
+            assert got.toPandas().sort_values(["sample", "x"])["out"].tolist() == want.sort_values(["sample", "x"])["out"].tolist()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @pytest.fixture
 def scored(spark):
     return spark.createDataFrame([("s", v, False) for v in (0.9, 0.8, 0.7, 0.6)] + [("s", v, True) for v in (0.85, 0.65, 0.5)], "sample string, score double, is_decoy boolean")
