@@ -33,5 +33,6 @@ class RunConfig:
     clusters: bool = False
     inflations: tuple[float, float, int] = (1.1, 10.0, 500)  # the first, the last, and how many are tried
     seed: int = 0
-    scorer: str = "logistic"  # or "mean"
+    scorer: str = "logistic"  # or "mean", or "stored"
+    model: str | None = None  # path of a stored network
     resume: bool = False

@@ -50,8 +50,16 @@ def scored_pairs(table: DataFrame, profiles: DataFrame, config: RunConfig) -> Da
     """(sample, prot_a, prot_b, isdecoy, prob): one scorer for all samples."""
     found = features.pair_features(table, features.with_peaks(profiles), config.window, SAMPLE)
     rows = features.assemble(found, by=SAMPLE)
-    scorer = features.Logistic.fit(rows) if config.scorer == "logistic" else features.MeanCorrelation(config.points)
-    return features.score(rows, scorer, SAMPLE)
+    return features.score(rows, scorer_of(rows, config), SAMPLE)
+
+
+def scorer_of(rows: DataFrame, config: RunConfig) -> features.Scorer:
+    """Fit on the rows, read from a stored network, or the plain mean of correlations."""
+    if config.scorer == "stored":
+        if config.model is None:
+            raise ValueError("a stored scorer needs the path of its model")
+        return features.Layers.load(rows.sparkSession, config.model)
+    return features.Logistic.fit(rows) if config.scorer == "logistic" else features.MeanCorrelation(config.points)
 
 
 def scored_networks(profiles: DataFrame, prior: DataFrame | None, config: RunConfig) -> DataFrame:
@@ -157,8 +165,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("-skip", default="False", help="anything but False resumes from the tables of an earlier run")
     parser.add_argument("-merge", default="last", choices=("last", "all"))
     parser.add_argument("-clusters", action="store_true")
+    parser.add_argument("-model", default=None, help="a stored network that scores pairs; without one a regression is fitted")
     a = parser.parse_args(argv)
-    config = RunConfig(sheet=a.sid, out=a.out, prior=None if a.db == "False" else a.db, contaminants=a.crapome, fdr=a.fdr, contaminant_threshold=a.thres, resume=a.skip != "False", merge_scope=a.merge, clusters=a.clusters)
+    config = RunConfig(sheet=a.sid, out=a.out, prior=None if a.db == "False" else a.db, contaminants=a.crapome, fdr=a.fdr, contaminant_threshold=a.thres, resume=a.skip != "False", merge_scope=a.merge, clusters=a.clusters, scorer="stored" if a.model else "logistic", model=a.model)
     Run(SparkSession.builder.appName("elutra").getOrCreate(), config).run()
 
 

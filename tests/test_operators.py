@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from elutra.operators import cluster, fdr, features, network, pairs, specificity
 from elutra.operators.running import in_ranges, running
+from elutra.plans import pipeline
+from elutra.plans.config import RunConfig
 from elutra.sources import tables, validate
 
 
@@ -85,6 +87,27 @@ def test_running_matches_plain_sums(spark):
             assert got[s, v] == sum(n for t, w, n in x if t == s and ((w < v if up else w > v) or (w == v and not strict)))
 
 
+def test_stored_and_built_networks_score_alike(spark, tmp_path):
+    """Layers written and read give the scores of those in memory and of plain products; what doesn't fit is refused."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5))
+    one = features.Layers([(rng.normal(size=(5, 7)), rng.normal(size=7), "relu"), (rng.normal(size=(7, 3)), rng.normal(size=3), "tanh"), (rng.normal(size=(3, 1)), rng.normal(size=1), "sigmoid")])
+    (a, b, _), (c, d, _), (e, f, _) = one.layers
+    want = 1 / (1 + np.exp(-(np.tanh(np.maximum(x @ a + b, 0) @ c + d) @ e + f)))
+    one.save(spark, f"{tmp_path}/model")
+    again = features.Layers.load(spark, f"{tmp_path}/model")
+    assert np.allclose(one.score_batch(x), want[:, 0]) and (again.score_batch(x) == one.score_batch(x)).all()
+    df = spark.createDataFrame([(f"p{k}_x", f"q{k}", k % 2 == 0, v.tolist()) for k, v in enumerate(x)], "a string, b string, is_decoy boolean, x array<double>")
+    got = {r["prot_b"]: r["prob"] for r in features.score(df, again).collect()}
+    assert got == pytest.approx({f"q{k}": v for k, v in enumerate(want[:, 0])})
+    fitted = features.Logistic(rng.normal(size=5), 0.3)
+    assert np.allclose(fitted.layers().score_batch(x), fitted.score_batch(x))
+    for wrong in ([], [(np.ones((5, 2)), np.ones(2), "relu")], [(np.ones((5, 2)), np.ones(2), "relu"), (np.ones((3, 1)), np.ones(1), "relu")], [(np.ones((5, 1)), np.ones(1), "odd")]):
+        with pytest.raises(ValueError):
+            features.Layers(wrong)
+    assert pipeline.scorer_of(df, RunConfig(scorer="stored", model=f"{tmp_path}/model")).score_batch(x) == pytest.approx(want[:, 0])
+
+
 def test_ranges_fit_values_that_lie_close_together(spark):
     """All scores within 1e-4, most of them of one sample: ranges are still about equal, and sums right."""
     names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
