@@ -38,8 +38,12 @@ def pi0_counts(p: DataFrame, lambdas: list[float]) -> DataFrame:
     return at.select("sample", "lambda", (F.col("n") / F.col("m") / (1 - F.col("lambda"))).alias("pi0"))
 
 
-def pi0(p: DataFrame, method: str = "scalar", lambdas: list[float] | None = None) -> DataFrame:
-    """(sample, pi0), at most 1: at one lambda (0), by a cubic over a grid of them, or by the least mean squared error."""
+def pi0(p: DataFrame, method: str = "scalar", lambdas: list[float] | None = None, smooth_log: bool = False, degree: int = 3) -> DataFrame:
+    """(sample, pi0), at most 1: at one lambda (0), by a smooth curve over a grid of them, or by the least mean squared error.
+
+    The curve is the smoothing spline whose squared residuals may reach the number of points: one polynomial of ``degree`` does that for
+    shares of p-values. With ``smooth_log`` it runs through their logarithms; samples with a share of 0 have no value then.
+    """
     lambdas = lambdas or ([0.0] if method == "scalar" else [k / 20 for k in range(1, 20)])
     at = pi0_counts(p, lambdas)
     if method == "scalar":
@@ -50,7 +54,10 @@ def pi0(p: DataFrame, method: str = "scalar", lambdas: list[float] | None = None
         frame = frame.sort_values("lambda")
         x, y, m = frame["lambda"].to_numpy(), frame["pi0"].to_numpy(), float(frame["m"].iloc[0])
         if method == "smoother":
-            got = float(np.polyval(np.polyfit(x, y, 3), x[-1]))
+            if smooth_log and (y <= 0).any():
+                return pd.DataFrame({"sample": frame["sample"].iloc[:1], "pi0": [None]}, dtype=object)
+            curve = np.polyval(np.polyfit(x, np.log(y) if smooth_log else y, degree), x[-1])
+            got = float(np.exp(curve) if smooth_log else curve)
         else:
             n = y * m * (1 - x)
             error = n / (m * (1 - x)) ** 2 * (1 - n / m) + (y - np.percentile(y, 0.1)) ** 2
@@ -110,10 +117,23 @@ def bandwidth(values: DataFrame, x: str = "x") -> DataFrame:
     return got.select("sample", (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
 
 
-def local_fdr(errors: DataFrame, pi0_value: float = 1.0, adjust: float = 1.5, eps: float = 1e-8, grid: int = 512) -> DataFrame:
-    """``errors`` with pep: the local false discovery rate by a Gaussian density of probit p-values, never falling with p.
+def _bends(y: np.ndarray) -> np.ndarray:
+    """Second differences of the cubic spline through equally spaced values, in units of the step; its third derivative doesn't jump at the second and the last but one."""
+    n = len(y)
+    system, right = np.zeros((n, n)), np.zeros(n)
+    inner = np.arange(1, n - 1)
+    system[inner, inner - 1], system[inner, inner], system[inner, inner + 1] = 1, 4, 1
+    right[inner] = 6 * (y[:-2] - 2 * y[1:-1] + y[2:])
+    system[0, :3] = system[-1, -3:] = 1, -2, 1
+    return np.linalg.solve(system, right)
+
+
+def local_fdr(errors: DataFrame, pi0_value: float = 1.0, adjust: float = 1.5, eps: float = 1e-8, grid: int = 512, transform: str = "probit", truncate: bool = True, monotone: bool = True) -> DataFrame:
+    """``errors`` with pep: the local false discovery rate by a Gaussian density of transformed p-values.
 
-    The density is summed from a histogram of at most ``4 * grid`` bins for each sample, so that no task holds a sample's rows.
+    ``transform`` is "probit", against the normal density, or "logit", against the derivative of its inverse. ``truncate`` keeps rates at 1
+    at most, ``monotone`` never lets them fall with p. The density is summed on a grid, between whose points a cubic spline runs, from
+    a histogram of at most ``4 * grid`` bins for each sample, so that no task holds a sample's rows.
     """
     from statistics import NormalDist
 
@@ -123,7 +143,10 @@ def local_fdr(errors: DataFrame, pi0_value: float = 1.0, adjust: float = 1.5, ep
     def probit(p: pd.Series) -> pd.Series:
         return p.clip(eps, 1 - eps).map(normal.inv_cdf)
 
-    at = errors.withColumn("_x", probit("pvalue"))
+    if transform not in ("probit", "logit"):
+        raise ValueError(f"no transform is called {transform}")
+    x = F.col("_x")
+    at = errors.withColumn("_x", probit("pvalue") if transform == "probit" else F.ln((F.col("pvalue") + eps) / (1 - F.col("pvalue") + eps)))
     wide = at.groupBy("sample").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), (F.sum("n") / 1.0).alias("m"), F.sum(F.col("_x") * F.col("n")).alias("s1"), F.sum(F.col("_x") ** 2 * F.col("n")).alias("s2"))
     bins = 4 * grid
     binned = at.join(wide.select("sample", "lo", "hi"), "sample")
@@ -141,14 +164,19 @@ def local_fdr(errors: DataFrame, pi0_value: float = 1.0, adjust: float = 1.5, ep
         bw = adjust * 0.9 * (min(sd, (quartiles[1] - quartiles[0]) / 1.34) or sd) * m**-0.2
         at = np.linspace(lo - 3 * bw, hi + 3 * bw, grid)
         y = (np.exp(-0.5 * ((at[:, None] - x[None, :]) / bw) ** 2) @ w) / (m * bw * np.sqrt(2 * np.pi))
-        return pd.DataFrame({"sample": [frame["sample"].iloc[0]], "first": [at[0]], "step": [at[1] - at[0]], "density": [y.tolist()]})
+        return pd.DataFrame({"sample": [frame["sample"].iloc[0]], "first": [at[0]], "step": [at[1] - at[0]], "density": [y.tolist()], "bends": [_bends(y).tolist()]})
 
-    curves = heights.groupBy("sample").applyInPandas(density, f"sample {kind}, first double, step double, density array<double>")
-    place = (F.col("_x") - F.col("first")) / F.col("step")
+    curves = heights.groupBy("sample").applyInPandas(density, f"sample {kind}, first double, step double, density array<double>, bends array<double>")
+    place = (x - F.col("first")) / F.col("step")
     i = F.floor(place).cast("int")
-    y = F.get("density", i) + (F.get("density", i + 1) - F.get("density", i)) * (place - i)
-    null = F.exp(-F.col("_x") ** 2 / 2) / F.lit(float(np.sqrt(2 * np.pi)))
-    raw = at.join(curves, "sample").withColumn("_raw", F.least(F.lit(1.0), pi0_value * F.try_divide(null, y)))
+    v, u = place - i, 1 - (place - i)
+    line = F.get("density", i) * u + F.get("density", i + 1) * v
+    y = line + (F.get("bends", i) * (u * u * u - u) + F.get("bends", i + 1) * (v * v * v - v)) / 6
+    null = F.exp(-x * x / 2) / F.lit(float(np.sqrt(2 * np.pi))) if transform == "probit" else F.exp(-F.abs(x)) / F.pow(1 + F.exp(-F.abs(x)), F.lit(2.0))
+    rate = pi0_value * F.try_divide(null, y)
+    raw = at.join(curves, "sample").withColumn("_raw", F.least(F.lit(1.0), rate) if truncate else rate)
+    if not monotone:
+        return raw.withColumn("pep", F.col("_raw")).select(*errors.columns, "pep")
     per = raw.groupBy("sample", "pvalue").agg((-F.max("_raw")).alias("_low"))
     risen = running(per, BY, "pvalue", "_low", "_least", how="min").select("sample", "pvalue", (-F.col("_least")).alias("pep"))
     return errors.join(risen, ["sample", "pvalue"])

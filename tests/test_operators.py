@@ -161,6 +161,54 @@ def test_pi0_of_both_methods(spark):
         assert fdr.pi0(df, method).first()["pi0"] == pytest.approx(min(1.0, value), abs=1e-9)
 
 
+def test_pi0_by_logarithms(spark):
+    """Shares that fall by a known law: the curve of their logarithms is found, and a share of 0 gives none."""
+    grid = [k / 20 for k in range(1, 20)]
+    rng = np.random.default_rng(13)
+    p = np.round(np.concatenate([rng.random(900), rng.random(600) ** 8]), 4)
+    at, n = np.unique(p, return_counts=True)
+    df = spark.createDataFrame([("s", float(a), int(k), float(a)) for a, k in zip(at, n, strict=True)] + [("low", 0.1, 5, 0.1)], "sample string, score double, nt long, pvalue double")
+    share = np.array([(p >= x).mean() / (1 - x) for x in grid])
+    got = {r["sample"]: r["pi0"] for r in fdr.pi0(df, "smoother", smooth_log=True).collect()}
+    assert got["low"] is None and got["s"] == pytest.approx(min(1.0, float(np.exp(np.polyval(np.polyfit(grid, np.log(share), 3), grid[-1])))), abs=1e-9)
+
+
+@pytest.mark.parametrize("transform", ["probit", "logit"])
+def test_local_rates_equal_a_direct_kernel_sum(spark, transform):
+    """Both transforms, cut off at 1 or not, rising with p or not, against sums over all p-values."""
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(21)
+    p = np.sort(np.round(np.concatenate([rng.random(500), rng.random(300) ** 5]), 3).clip(0.001, 0.999))
+    at, n = np.unique(p, return_counts=True)
+    df = spark.createDataFrame([("s", float(1 - a), int(k), float(a), 0.0) for a, k in zip(at, n, strict=True)], "sample string, cutoff double, n long, pvalue double, qvalue double")
+    eps = 1e-8
+    of = (lambda v: np.array([NormalDist().inv_cdf(min(max(x, eps), 1 - eps)) for x in v])) if transform == "probit" else (lambda v: np.log((v + eps) / (1 - v + eps)))
+    x, all_x = of(at), of(p)
+    bw = 1.5 * 0.9 * min(all_x.std(ddof=1), np.subtract(*np.percentile(all_x, [75, 25])) / 1.34) * len(p) ** -0.2
+    y = np.exp(-0.5 * ((x[:, None] - all_x[None, :]) / bw) ** 2).sum(axis=1) / (len(p) * bw * np.sqrt(2 * np.pi))
+    null = np.exp(-x * x / 2) / np.sqrt(2 * np.pi) if transform == "probit" else np.exp(x) / (1 + np.exp(x)) ** 2
+    plain = 0.9 * null / y
+    for truncate, monotone in ((True, True), (False, False), (True, False)):
+        want = np.minimum(plain, 1) if truncate else plain
+        want = np.maximum.accumulate(want) if monotone else want
+        got = {r["pvalue"]: r["pep"] for r in fdr.local_fdr(df, 0.9, transform=transform, truncate=truncate, monotone=monotone).collect()}
+        assert [got[a] for a in at.tolist()] == pytest.approx(want.tolist(), rel=0.01)
+    with pytest.raises(ValueError):
+        fdr.local_fdr(df, transform="none")
+
+
+def test_spline_between_grid_points():
+    """A cubic is met exactly, a smooth curve closely."""
+    at = np.arange(20.0)
+    inside = np.linspace(0, 18.99, 200)
+    for curve, near in ((lambda t: t**3 - 9 * t**2 + t, 1e-9), (lambda t: np.sin(t / 4), 2e-4)):
+        y, m, i = curve(at), fdr._bends(curve(at)), inside.astype(int)
+        v, u = inside - i, 1 - (inside - i)
+        got = y[i] * u + y[i + 1] * v + (m[i] * (u**3 - u) + m[i + 1] * (v**3 - v)) / 6
+        assert np.abs(got - curve(inside)).max() < near * max(1, np.abs(y).max())
+
+
 def test_no_decoys_gives_no_p_values(scored):
     assert fdr.error_table(scored.where("not is_decoy")).count() == 0
 
