@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 PROF = """prof AS (SELECT s.s_suppkey AS key, g.i::INT AS idx, coalesce(sum(l.l_quantity), 0)::DOUBLE AS v
   FROM supplier s CROSS JOIN range(83) g(i)
   LEFT JOIN (SELECT l_suppkey, l_quantity, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS m FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F') l
@@ -63,6 +65,14 @@ def _r(expression: str, name: str | None = None) -> str:
     return f"round({expression}, 6) + 0.0 AS {name or expression}"
 
 
+def _last_of_cubic() -> str:
+    """(lam, h): what each share counts for in the last value of the cubic through the shares at 0.05, 0.1 .. 0.95."""
+    grid = np.arange(1, 20) / 20
+    v = np.vander(grid, 4)
+    h = v[-1] @ np.linalg.pinv(v)
+    return "(VALUES " + ", ".join(f"({g!r}::DOUBLE, {c!r}::DOUBLE)" for g, c in zip(grid.tolist(), h.tolist(), strict=True)) + ") l(lam, h)"
+
+
 NATION = (
     EDGES + ", " + HEAVY.format(0.75) + ", inside AS (SELECT src, dst, weight FROM heavy JOIN supplier x ON src = x.s_suppkey JOIN supplier y ON dst = y.s_suppkey WHERE x.s_nationkey = y.s_nationkey), "
     + SYM.format("inside") + ", ent AS (SELECT src AS i, dst AS j, weight AS v FROM sym)"
@@ -213,4 +223,7 @@ SQL: dict[str, str] = {
     "mcl_grid": f"WITH {NATION}, {_rounds('[1.5, 2.0, 3.0]', 40)} SELECT g AS inflation, array_to_string(members, ';') AS members FROM sets",
     "mcl_clusters": f"""WITH {NATION}, {_rounds('[2.0]', 40)}, num AS (SELECT members, row_number() OVER (ORDER BY members) AS n FROM sets WHERE len(members) > 1)
       SELECT n::INT AS "ComplexID", 'cmplx_' || n AS "ComplexName", array_to_string(members, ';') AS "subunits(Gene name)" FROM num""",
+    "pi0_smoother": f"""WITH {SCORED}{PVAL}, m AS (SELECT sample, sum(nt) AS m FROM pv GROUP BY 1),
+      sh AS (SELECT pv.sample, lam, any_value(h) AS h, sum(CASE WHEN pvalue >= lam THEN nt ELSE 0 END) / any_value(m) / (1 - lam) AS s FROM pv JOIN m USING (sample), {_last_of_cubic()} GROUP BY 1, 2)
+      SELECT sample, round(least(1, sum(h * s)), 6) + 0.0 AS pi0 FROM sh GROUP BY 1""",
 }

@@ -474,7 +474,7 @@ def pi0_lambda(spark, sf):
 
 @query
 def pi0_smoother(spark, sf):
-    return fdr.pi0(fdr.p_values(scored(spark, sf)), "smoother")
+    return fdr.pi0(fdr.p_values(scored(spark, sf)), "smoother").select("sample", r6("pi0").alias("pi0"))
 
 
 @query
