@@ -31,7 +31,7 @@ def plain(frame):
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", ["profile_network", "normalize_profiles", "corr_pairs", "sliding_corr", "qvalue", "fdr_filter", "replicate_outer", "neighbours", "wd_score", "mcl_prune", "dense_ids", "explode_lists", "scan_matrix", "scan_matrix_legacy", "assemble_features", "decoy_sample", "pair_ids", "wd_cutoff"])
+@pytest.mark.parametrize("name", ["profile_network", "normalize_profiles", "corr_pairs", "sliding_corr", "qvalue", "fdr_filter", "replicate_outer", "neighbours", "wd_score", "mcl_prune", "dense_ids", "explode_lists", "scan_matrix", "scan_matrix_legacy", "assemble_features", "decoy_sample", "pair_ids", "wd_cutoff", "mcl_grid", "mcl_clusters", "connected_parts", "condition_corr_pairs", "condition_specificity", "pi0_smoother"])
 def test_query_equals_sql(spark, db, name):
     got, want = plain(queries.QUERIES[name](spark, SF).toPandas()), plain(db.execute(oracles.SQL[name]).df())
     assert list(got.columns) == list(want.columns)
