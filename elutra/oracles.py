@@ -226,4 +226,7 @@ SQL: dict[str, str] = {
     "pi0_smoother": f"""WITH {SCORED}{PVAL}, m AS (SELECT sample, sum(nt) AS m FROM pv GROUP BY 1),
       sh AS (SELECT pv.sample, lam, any_value(h) AS h, sum(CASE WHEN pvalue >= lam THEN nt ELSE 0 END) / any_value(m) / (1 - lam) AS s FROM pv JOIN m USING (sample), {_last_of_cubic()} GROUP BY 1, 2)
       SELECT sample, round(least(1, sum(h * s)), 6) + 0.0 AS pi0 FROM sh GROUP BY 1""",
+    "aligned_peaks": f"""WITH {VEC}, {TOP.format('vec')}, ks AS (SELECT DISTINCT key FROM vec), pr AS (SELECT x.key AS a, y.key AS b FROM ks x JOIN ks y ON y.key = x.key + 1),
+      s AS (SELECT a, b, arg_min((x.idx, y.idx), (abs(x.idx - y.idx), -x.idx, -y.idx)) AS p FROM pr JOIN top x ON x.key = a JOIN top y ON y.key = b GROUP BY 1, 2)
+      SELECT a, b, p[1] AS peak_a, p[2] AS peak_b FROM pr LEFT JOIN s USING (a, b)""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +84,31 @@ def test_sliding_pearson_against_numpy():
     assert np.isnan(got[:, 63:]).all()
 
 
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_closest_peaks_equal_an_enumeration(k):
+    """The least sum over all pairs, not over neighbours; beyond the steps the place of least spread decides."""
+    draw = random.Random(k)
+    for _ in range(200):
+        peaks = [sorted(draw.sample(range(70), draw.randrange(1, 5))) for _ in range(k)]
+        total = lambda c: sum(abs(a - b) for a, b in itertools.combinations(c, 2))
+        least = min(map(total, itertools.product(*peaks)))
+        found = signal.closest(peaks, 10**6)
+        assert total(found) == least and all(p in own for p, own in zip(found, peaks, strict=True))
+        if (short := signal.closest(peaks)) is not None:
+            assert short == found
+        if not set(peaks[0]).intersection(*peaks[1:]):
+            assert signal.align(peaks) == (short or signal.least_spread(peaks))
+
+
+def test_ties_and_limits_of_alignment():
+    assert signal.closest([[0], [5], [9, 1]]) == [0, 5, 1]  # 0, 5, 9 are as close as 0, 5, 1 by neighbours only
+    assert signal.closest([[10], [8, 12]]) == [10, 12]  # of equal sums the last one put in
+    wide = [list(range(0, 120, 2)), list(range(1, 121, 2))]
+    assert signal.closest(wide) is not None and signal.closest(wide, 60) is None
+    assert signal.align(wide, 60) == signal.least_spread(wide) == [0, 1]
+    assert signal.least_spread([[1, 9], [5], [4, 8]]) == [1, 5, 4]
+
+
 def test_align():
     assert signal.align([[3, 9], [9, 20]]) == [9, 9]
     assert signal.align([[3, 9], [5, 20]]) == [3, 5]
