@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from elutra.functions import names
+from elutra.sources.validate import MissingColumnError
 
 #: What counts as missing in feature tables.
 MISSING = ("nan", "na", "", "None", "n", "-")
@@ -45,6 +46,8 @@ def read_matrix(spark: SparkSession, path: str, key: str = "GN", legacy: bool =
         return as_profiles(tsv(spark, path), key)
     lines = with_row_order(spark.read.text(path)).withColumn("cells", F.split(F.regexp_replace("value", "\\s+$", ""), "\t+"))
     head = lines.where(F.get("cells", F.lit(0)) == key).orderBy("row_idx").limit(1).select(F.size("cells").alias("n")).first()
+    if head is None:
+        raise MissingColumnError(f"no line of {path} starts with {key}")
     rows = lines.where(F.get("cells", F.lit(0)) != key)
     vals = F.transform(F.slice("cells", 2, head["n"] - 1), lambda x: x.cast("double"))
     return last_wins(rows.select(F.get("cells", F.lit(0)).alias("key"), vals.alias("v"), "row_idx"), "key", "v", "row_idx", "vals")

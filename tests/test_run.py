@@ -10,7 +10,7 @@ from elutra.operators import network, pairs, specificity
 from elutra.plans import pipeline
 from elutra.plans.config import RunConfig
 from elutra.plans.pipeline import Run
-from elutra.sources import sinks, tables
+from elutra.sources import sinks, tables, validate
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +129,12 @@ def test_matrix_readers(spark, tmp_path):
     assert sorted((r["key"], r["vals"]) for r in legacy.collect()) == [("X", [7, 8, 9]), ("Y", [4, 5, 6])]
 
 
+def test_legacy_file_without_heading(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("X\t1\t2\n")
+    with pytest.raises(validate.MissingColumnError):
+        tables.read_matrix(spark, str(tmp_path / "m.txt"), legacy=True)
+
+
 def test_small_readers(spark):
     df = spark.createDataFrame([("c", "a;b;c"), ("d", "a;b")], ["ComplexName", "subunits(Gene name)"])
     assert sorted(tuple(r) for r in tables.complexes_to_pairs(df).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
