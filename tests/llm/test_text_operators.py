@@ -61,6 +61,13 @@ def docs(spark):
         ("<dialog open>d</dialog><dialog>e</dialog><input type=submit value='Go'>", "dGo"),
         ('x <a b="c>d e', "x d e"),
         ("a <b", "a <b"),
+        ("<details><summary>s</summary>no<p>no</p></details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+        ("<object data=x><p>instead</p></object>", "instead"),
+        ("<pre>\n a\n</pre>", " a"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=9><li>a<li value=5>b<li>c</ol>", "9. a\n5. b\n4. c"),
+        ("<table><tr><td>" + "w" * 90 + "<td>x<tr><td>y<td>z</table>", "w" * 90 + " | x\ny" + " " * 89 + " | z"),
+        ("<table><tr><td rowspan=3>a<td>b<td rowspan=2>c<tr><td>d<tr><td>e<td>f</table>", "a | b | c\n  | d\n  | e | f"),
     ],
 )
 def test_html(html, text):
@@ -72,11 +79,48 @@ def test_html_of_any_depth():
     assert "in" in html_text.render("<table><tr><td>" * 300 + "in")
 
 
-@pytest.mark.parametrize("part", ["<a ", "<a b='\"", "<td>", "<li>", "<div hidden>", '<a b="> <c d=\'>'])
-def test_html_takes_time_in_proportion(part):
-    began = time.process_time()
-    html_text.render(part * 30_000)
-    assert time.process_time() - began < 8
+PAGES = {
+    "tags": lambda n: "<a " * n,
+    "quotes": lambda n: "<a b='\"" * n,
+    "cells": lambda n: "<td>" * n,
+    "items": lambda n: "<li>" * n,
+    "hidden": lambda n: "<div hidden>" * n,
+    "broken": lambda n: '<a b="> <c d=\'>' * n,
+    "spans": lambda n: "<table>" + "<tr><td colspan=1000 rowspan=65534>x</td></tr>" * n,
+    "growing spans": lambda n: "<table>" + "".join(f"<tr><td colspan={k % 1000 + 1}>a<td>b" for k in range(n)),
+    "spans with gaps": lambda n: "<table><tr>" + "<td rowspan=65000>a<td>b" * n + "<tr><td>x" * n,
+    "one long line of cells": lambda n: "<table><tr>" + "<td>a" * n + "<tr>" + "<td>" * n + "b<br>" * n,
+    "nested quotes": lambda n: "<blockquote>a" * n,
+    "nested lists": lambda n: "<ul><li>a" * n,
+    "nested lists without text": lambda n: "<ol><li>" * n + "x",
+    "nested tables": lambda n: "<table><tr><td>a<br>b<td>" * n + "z",
+    "nested tables of one cell": lambda n: "<table><tr><td>" * n + "z",
+}
+
+
+@pytest.mark.parametrize("page", PAGES.values(), ids=PAGES)
+def test_html_takes_time_in_proportion(page):
+    """A page four times as long takes about four times as long, and its text stays in proportion to it."""
+    took = []
+    for n in (4_000, 16_000):
+        html, least = page(n), []
+        for _ in range(3):
+            began = time.process_time()
+            text = html_text.render(html)
+            least.append(time.process_time() - began)
+        took.append(min(least))
+        assert len(text) < 20 * len(html)
+    assert took[1] < 7 * took[0] + 0.1 and took[1] < 8
+
+
+def test_html_text_is_whole_where_tables_are_not_aligned():
+    """Tables that alignment would blow up, by their width or by nesting: every word once, in order."""
+    page = "<table>" + "".join(f"<tr><td colspan=1000>a{k}<td>b{k}" for k in range(300)) + "</table>"
+    assert re.findall(r"\w+", html_text.render(page)) == [f"{x}{k}" for k in range(300) for x in "ab"]
+    wide = "<table>" + "".join("<tr>" + "<td>" * k + f"c{k}" for k in range(1, 400)) + "</table>"
+    assert re.findall(r"\w+", html_text.render(wide)) == [f"c{k}" for k in range(1, 400)]
+    deep = "".join(f"<table><tr><td>a{k}<br>b{k}<td>" for k in range(50)) + "z"
+    assert sorted(re.findall(r"\w+", html_text.render(deep))) == sorted([f"{x}{k}" for k in range(50) for x in "ab"] + ["z"])
 
 
 class PlainText(HTMLParser):
