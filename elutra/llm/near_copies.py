@@ -4,10 +4,10 @@ SimHash fingerprints of the sets, searched in vantage-point trees, find most lin
 miss a prefix filter finds, which misses no pair: sets are read in one order common to all
 documents; of two sets with a similarity of 0.8 at least, each has one of the shared shingles among
 its first n - ceil(0.8 n) + 1. Any order will do; here shingles that are frequent in a sample of the
-documents come last, so that a line found in many documents makes no candidates. Candidates whose
-two fingerprints, of 128 bits together, differ in over 48 bits are left out: similar sets differ in
-19 bits or so, and in over 48 with a chance of some 10 to the -9. Every link is verified on the whole
-sets, in a join.
+documents come last, so that a line found in many documents makes no candidates. Candidates are
+left out only where similarity is impossible: counts of a set's shingles in hashed bins, some two
+a bin, bound what two sets share by the sum of the lesser counts. Every other link is verified on
+the whole sets, in a join.
 
 A large group of copies doesn't cost its square: the trees give links that span it, and only
 documents that these don't join are compared any further: first with one other for each shingle of
@@ -17,9 +17,11 @@ their prefix, and then those pairs that are still in different components.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from elutra.llm import simhash
 from elutra.llm.components import components
@@ -32,8 +34,6 @@ SAMPLE, SHARE, MAX_OFTEN, OFTEN = 4096, 1 / 64, 100_000, 4
 #: Fingerprints of sets with a similarity of 0.8 differ in 10 bits or so. Links of at most 12 are candidates; the trees seek
 #: those with a part that differs in one bit at most.
 RULE = simhash.Rule(reach=12, trees=4, near=1)
-#: Most differing bits of both fingerprints of similar sets.
-MAX_BITS = 48
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,10 +100,22 @@ def _fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(own: np.ndarray) -> tuple[int, int]:
-    """Of the shingles' hashes, and of these mixed once more."""
-    again = own.view(np.uint64) * _MIX
-    return _fingerprint(own), _fingerprint(((again ^ (again >> np.uint64(31))) * _MIX).view(np.int64))
+def _bins(own: np.ndarray) -> bytes:
+    """How many of a set are in each of some len / 2 bins, a power of two; b"" if a count passes a byte."""
+    k = 1 << max(0, len(own).bit_length() - 2)
+    counts = np.bincount(own & (k - 1), minlength=k)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _most_shared(x: bytes, y: bytes) -> int:
+    """A bound on what the sets of two non-empty bins share. Of unequal numbers of bins the more are added up to the fewer."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64)).sum(dtype=np.int64))
+
+
+@F.pandas_udf(BooleanType())
+def _may_be_similar(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([not a or not b or 9 * min(_most_shared(a, b), p, q) >= 4 * (p + q) for p, q, a, b in zip(n, m, x, y, strict=True)], dtype=bool)
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -122,16 +134,17 @@ def group(docs: DataFrame) -> DataFrame:
 
         def one(value: str) -> tuple:
             own = shingles(value)
-            return _node(own), len(own), *_fingerprints(own), prefix(own, tokens, counts)
+            return _node(own), len(own), _fingerprint(own), _bins(own), prefix(own, tokens, counts)
 
         return one
 
-    of_docs = docs.select("doc_id", per_text(read, "node long, n long, fp long, fp2 long, prefix array<long>", ["node", "n", "fp", "fp2", "prefix"])(F.col("text")).alias("x"))
+    of_docs = docs.select("doc_id", per_text(read, "node long, n long, fp long, bins binary, prefix array<long>", ["node", "n", "fp", "bins", "prefix"])(F.col("text")).alias("x"))
     of_docs = _kept(of_docs.select("doc_id", "x.*"))
-    nodes = _kept(of_docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
+    nodes = _kept(of_docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     repeated = of_docs.groupBy("doc_id").count().where("count > 1").select("doc_id")  # ids of several rows
 
     again = small_side(_kept(repeated))
+    several_rows = not again.isEmpty()
 
     def read_sets():
         def one(value: str) -> tuple:
@@ -147,22 +160,26 @@ def group(docs: DataFrame) -> DataFrame:
         own = per_text(read_sets, "node long, own array<long>", ["node", "own"])(F.col("text"))
         found = docs.join(small_side(asked), "doc_id").select("doc_id", "asked", own.alias("x")).select("doc_id", "asked", "x.*")
         found = _kept(found.where("node = asked").select("doc_id", "node", "own"))
-        if again.isEmpty():
+        if not several_rows:
             return found.select("node", "own")
         several = found.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "node"])  # of repeated rows one
         return found.join(again, "doc_id", "left_anti").union(several.select("doc_id", "node", "own")).select("node", "own")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Those whose fingerprints are close enough."""
-        x, y = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("fp2").alias(f"fp2_{c}")) for c in "ab")
-        off = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) + F.bit_count(F.col("fp2_a").bitwiseXOR(F.col("fp2_b")))
-        return pairs.join(x, "a").join(y, "b").where(off <= MAX_BITS).select("a", "b")
+        """Without those that the bins rule out. Bins come from the document that stands for a node."""
+        pairs = _kept(pairs)
+        asked = small_side(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        own = of_docs.join(asked, "node", "left_semi").join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi")
+        own = own.select("node", "n", "bins")
+        if several_rows:
+            own = own.dropDuplicates(["node"])
+        x, y = (own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").where(_may_be_similar("n_a", "n_b", "bins_a", "bins_b")).select("a", "b")
 
     # Links that the trees find.
     with_words = nodes.where("n > 0")
     asked = simhash.links(with_words.select("node", "fp"), with_words.count(), RULE)
-    asked = _kept(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    asked = _kept(plausible(asked))
+    asked = _kept(plausible(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     near = _kept(_verified(asked, sets(asked)))
     of_node = components(near)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from elutra.llm import near_copies
@@ -55,6 +56,34 @@ def made(rng) -> list:
     return list(enumerate(texts))
 
 
+def test_bins_never_rule_out_similar_sets():
+    """The bound holds for any two sets; it equals the size for a set with itself, and parts most sets that share little."""
+    rng, apart, pairs = np.random.default_rng(3), 0, 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 900))
+        x = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        y = np.unique(np.concatenate([x[: int(rng.integers(0, n + 1))], rng.integers(-(1 << 63), 1 << 63, int(rng.integers(0, n + 1)))]))
+        if not len(y):
+            continue
+        shared, most = len(np.intersect1d(x, y)), near_copies._most_shared(near_copies._bins(x), near_copies._bins(y))
+        assert shared <= most <= 2 * max(len(x), len(y))
+        assert near_copies._most_shared(near_copies._bins(x), near_copies._bins(x)) == len(x)
+        if n > 50 and 0.8 < len(x) / len(y) < 1.25 and shared < 0.3 * len(x):
+            pairs, apart = pairs + 1, apart + (9 * most < 4 * (len(x) + len(y)))
+    assert pairs > 30 and apart > 0.9 * pairs
+    assert near_copies._bins(np.zeros(300, np.int64)) == b""  # a count beyond a byte: no bound
+
+
+def test_short_similar_texts_are_all_found(spark):
+    """Sets of four and five shingles, four in common: fingerprints say next to nothing of them."""
+    rows = []
+    for k in range(2000):
+        words = [f"a{k}w{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    got = near_copies.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == [(d, d - d % 2) for d in range(4000)]
+
+
 @pytest.mark.parametrize("often", [4, 1 << 30])
 def test_groups_are_those_of_brute_force(spark, monkeypatch, often):
     monkeypatch.setattr(near_copies, "OFTEN", often)
