@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from elutra.functions import names, signal
 from elutra.functions import profiles as p
-from elutra.operators import cluster, fdr, features, network, pairs, specificity
+from elutra.operators import cluster, factors, fdr, features, network, pairs, specificity
 from elutra.operators.components import components
 from elutra.plans import pipeline
 from elutra.plans.config import RunConfig
@@ -742,6 +742,12 @@ def layered_factors(spark, sf):
     return cluster.layered_factors(m)[0]
 
 
+@query
+def deep_factors(spark, sf):
+    """Factors of a network of many parts in a chain of two layers, absent edges counting as zeros."""
+    return factors.deep_factors(nation_matrix(spark, sf), rounds=10)[0].select("id", "cluster")
+
+
 @query
 def profile_network(spark, sf):
     """From profiles to a network: normalized, correlated, and listed with a confidence."""
