@@ -9,13 +9,16 @@ left out only where similarity is impossible: counts of a set's shingles in hash
 a bin, bound what two sets share by the sum of the lesser counts. Every other link is verified on
 the whole sets, in a join.
 
-A large group of copies doesn't cost its square: the trees give links that span it, and only
-documents that these don't join are compared any further: first with one other for each shingle of
-their prefix, and then those pairs that are still in different components.
+A large group of near copies that are linked doesn't cost its square: the trees give links that span
+it, and only documents that these don't join are compared any further: first in rounds of stars, each
+with one other for each shingle of their prefix, the one with least of its own, and then those pairs
+that are still in different components and that the bounds allow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -34,6 +37,8 @@ SAMPLE, SHARE, MAX_OFTEN, OFTEN = 4096, 1 / 64, 100_000, 4
 #: Fingerprints of sets with a similarity of 0.8 differ in 10 bits or so. Links of at most 12 are candidates; the trees seek
 #: those with a part that differs in one bit at most.
 RULE = simhash.Rule(reach=12, trees=4, near=1)
+#: At most so many rounds of stars come before pairs are listed. It decides the cost only.
+ROUNDS = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +123,22 @@ def _may_be_similar(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> p
     return pd.Series([not a or not b or 9 * min(_most_shared(a, b), p, q) >= 4 * (p + q) for p, q, a, b in zip(n, m, x, y, strict=True)], dtype=bool)
 
 
+def _stars(index: DataFrame, k: int, possible: Callable[[str, str], Column]) -> DataFrame:
+    """Each row of ``index`` (token, node, c, spot) with the best of its token in another component, as pairs (a, b).
+
+    The best have the fewest rare shingles before the token, so least of their own. After the first
+    round it is the best of half the nodes, another half each time, as pairs that failed do so again.
+    """
+    whole = Window.partitionBy("token")
+    own = F.struct((F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)) / F.shiftright("spot", 32)).alias("share"), "c", "node", "spot")
+    best = index.withColumn("own", own if k == 0 else F.when(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0, own))
+    best = best.withColumn("first", F.min("own").over(whole))
+    best = best.withColumn("second", F.min(F.when(F.col("c") != F.col("first.c"), F.col("own"))).over(whole))
+    best = best.withColumn("one", F.when(F.col("c") != F.col("first.c"), F.col("first")).otherwise(F.col("second"))).where("one is not null")
+    best = best.select("node", "spot", F.col("one.node").alias("one"), F.col("one.spot").alias("one_spot")).where(possible("spot", "one_spot"))
+    return best.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct()
+
+
 def group(docs: DataFrame) -> DataFrame:
     """doc_id and component_id for every row of ``docs`` (doc_id, text) with a doc_id.
 
@@ -199,22 +220,21 @@ def group(docs: DataFrame) -> DataFrame:
         (n, at), (m, to) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in (spot, other))
         return _similar(n, m, F.least(n - at, m - to))
 
-    index = _kept(open_at(index))
-    one = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(2)), "c").alias("h"), "c", "node", "spot")).over(whole)
-    stars = index.withColumn("one", one).where("c <> one.c").select("node", "spot", F.col("one.node").alias("one"), F.col("one.spot").alias("one_spot")).where(possible("spot", "one_spot"))
-    stars = stars.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct()
-    stars = _kept(plausible(stars).join(asked, ["a", "b"], "left_anti"))
-    tried = asked.union(stars)
-    if not stars.isEmpty():
-        more = _kept(_verified(stars, sets(stars)))
-        if not more.isEmpty():
-            near = near.union(more)
-            of_node = components(near)
+    index, tried = _kept(open_at(index)), asked
+    for k in range(ROUNDS):
+        stars = _kept(plausible(_stars(index, k, possible)).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(stars)
+        more = None if stars.isEmpty() else _kept(_verified(stars, sets(stars)))
+        if more is None or more.isEmpty():
+            break
+        near = near.union(more)
+        of_node = _kept(components(near))
+        # What is open yet goes on with its new components.
+        index = index.drop("c").join(small_side(of_node), "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"), "spot")
+        index = _kept(open_at(index))
 
     # What the stars have left open: pairs of a shingle in different components.
-    of_index = index.drop("c").join(of_node, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"), "spot")
-    of_index = _kept(open_at(of_index))
-    x, y = of_index.toDF("token", "a", "c", "spot"), of_index.toDF("token", "b", "d", "other")
+    x, y = index.toDF("token", "a", "c", "spot"), index.toDF("token", "b", "d", "other")
     pairs = x.join(y, "token").where("a > b and c <> d").where(possible("spot", "other"))
     pairs = _kept(plausible(pairs.select("a", "b").distinct()).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():

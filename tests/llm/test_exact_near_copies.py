@@ -94,6 +94,22 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, often):
     assert near_copies.group(df.limit(0)).count() == 0
 
 
+def test_a_group_of_near_copies_does_not_cost_its_square(spark, monkeypatch):
+    """Copies of one text with up to three edits each, of which the trees find nothing: most pairs are similar, few are compared."""
+    rng, rows = random.Random(11), []
+    for d in range(300):
+        words = [f"base{i}" for i in range(150)]
+        for at in rng.sample(range(150), d % 4):
+            words[at] = f"own{d}at{at}"
+        rows.append((d, " ".join(words)))
+    compared, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "RULE", near_copies.simhash.Rule(reach=0, trees=4))
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(compared) < 5 * len(rows)
+
+
 def test_keep_one_is_exact_on_the_documents(spark):
     """These documents have pairs of similarities down to 0.64 that fingerprints link."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
