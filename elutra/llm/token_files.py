@@ -54,15 +54,17 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _of_parts(self, parts: list[str]) -> Iterator[bytes]:
-        """Those without other white space than a blank before them go to the library in one text, a line each: it splits at line ends."""
-        plain = [part.split() == [part.removeprefix(" ")] for part in parts]
-        lines = self._ids("".join([part + "\n" for part, own in zip(parts, plain, strict=True) if own]))
-        ends = np.flatnonzero(lines == self.line_end[0]).tolist()
-        data, at, k = lines.tobytes(), 0, 0
-        for part, own in zip(parts, plain, strict=True):
-            if own:
-                yield data[4 * at : 4 * ends[k]]
-                at, k = ends[k] + 1, k + 1
+        """Those without other white space than a blank before them and single line ends inside go to the library
+        in one text, on as many lines as they have: it splits at line ends."""
+        lines_of = [len(own) if (own := part.split()) and "\n".join(own) == part.removeprefix(" ") else 0 for part in parts]
+        ids = self._ids("".join([part + "\n" for part, n in zip(parts, lines_of, strict=True) if n]))
+        ends = np.flatnonzero(ids == self.line_end[0]).tolist()
+        data, at, k = ids.tobytes(), 0, 0
+        for part, n in zip(parts, lines_of, strict=True):
+            if n:
+                k += n
+                yield data[4 * at : 4 * ends[k - 1]]
+                at = ends[k - 1] + 1
             else:
                 yield self._ids(part).tobytes()
 
