@@ -16,6 +16,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -33,8 +34,8 @@ PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 INNER_BLANK = re.compile(f" (?=[{SPACE}]|\\Z)(?<=[{SPACE}] )")
 #: How words begin that may stand after an inner blank: with white space, or not at all.
 ODD_BEGINS = frozenset(["", *re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001))))])
-#: Words whose ids a task remembers.
-MAX_WORDS = 50_000
+#: Words whose ids a task remembers, and a worker that keeps its tables for the tasks to come.
+MAX_WORDS, MAX_KEPT = 50_000, 300_000
 
 
 class Recent:
@@ -45,18 +46,17 @@ class Recent:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, asked: Iterable[str]) -> list[str]:
+    def missing(self, asked: set[str]) -> list[str]:
         """Which of ``asked`` aren't held; those that are stay until the next call."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
-        for x in asked:
-            if x not in new:
-                got = old.get(x)
-                if got is None:
-                    out.append(x)
-                else:
-                    new[x] = got
+        for x in asked.difference(new):
+            got = old.get(x)
+            if got is None:
+                out.append(x)
+            else:
+                new[x] = got
         return out
 
 
@@ -327,21 +327,27 @@ class StreamDecoder:
         return "".join(out)
 
 
-def coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
+def coder(path: str, pattern: str, most: int = MAX_WORDS) -> tuple[Encoder, StreamDecoder]:
     """Made for each task anew: a Python worker that goes on with other work then doesn't hold its tables."""
     transducer = Transducer(read_ranks(path))
-    return Encoder(Pieces(transducer, pattern).encode, MAX_WORDS), StreamDecoder(transducer.bytes_of)
+    return Encoder(Pieces(transducer, pattern, most).encode, most), StreamDecoder(transducer.bytes_of)
+
+
+@lru_cache(maxsize=1)
+def kept_coder(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
+    """Made once for a Python worker, with larger tables: its tasks go on with the words of those before."""
+    return coder(path, pattern, MAX_KEPT)
 
 
 #: What ``transcode`` can give, with types.
 OUTPUTS = {"n_tokens": "long", "token_ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def transcode(text: Column, path: str, pattern: str, outputs: tuple[str, ...]) -> Column:
-    """A struct of ``outputs`` (names of OUTPUTS) for each text; null counts as empty."""
+def transcode(text: Column, path: str, pattern: str, outputs: tuple[str, ...], keep: bool = False) -> Column:
+    """A struct of ``outputs`` (names of OUTPUTS) for each text; null counts as empty. ``keep``: workers keep their tables."""
 
     def make():
-        encoder, decoder = coder(path, pattern)
+        encoder, decoder = (kept_coder if keep else coder)(path, pattern)
 
         def all_of(texts: list[str]) -> list[tuple]:
             return [result(data) for data in encoder.encode(texts)]
@@ -363,11 +369,12 @@ def transcode(text: Column, path: str, pattern: str, outputs: tuple[str, ...]) -
     return per_batch(make, ", ".join(f"{n} {OUTPUTS[n]}" for n in outputs), list(outputs))(text)
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), keep: bool = False) -> DataFrame:
     """doc_id and ``outputs`` for every row of ``docs`` (doc_id, text).
 
-    One narrow pass: no shuffle, and tasks hold one batch of texts and tables of bounded size.
+    One narrow pass: no shuffle, and tasks hold one batch of texts and tables of bounded size. With
+    ``keep`` a Python worker's tasks share them, for jobs in which its memory serves nothing else.
     Null and empty texts have no tokens (and the digests of nothing). Rows are independent:
     repeated rows give repeated results, a null doc_id stays null, other columns are ignored.
     """
-    return docs.select("doc_id", transcode(F.col("text"), path, pattern, outputs).alias("x")).select("doc_id", *[f"x.{n}" for n in outputs])
+    return docs.select("doc_id", transcode(F.col("text"), path, pattern, outputs, keep).alias("x")).select("doc_id", *[f"x.{n}" for n in outputs])

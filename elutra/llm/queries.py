@@ -28,7 +28,7 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from elutra.llm.bpe import encode_and_decode
 
-    return encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
+    return encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN, keep=True)
 
 
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

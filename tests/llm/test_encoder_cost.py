@@ -7,7 +7,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 
-from elutra.llm import token_files
+from elutra.llm import bpe, token_files
 
 
 def test_words_around_line_ends_go_to_the_library_together(monkeypatch):
@@ -21,3 +21,17 @@ def test_words_around_line_ends_go_to_the_library_together(monkeypatch):
     got = coder.encode(texts)
     assert len(calls) <= 2
     assert [np.frombuffer(x, "<u4").tolist() for x in got + coder.encode(odd)] == want
+
+
+def test_a_worker_keeps_its_tables_for_later_tasks(monkeypatch):
+    """Each task made the transducer and the table of known words anew. Small tables give the same ids."""
+    path, rng, reads, read = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(2), [], bpe.read_ranks
+    monkeypatch.setattr(bpe, "read_ranks", lambda x: reads.append(x) or read(x))
+    monkeypatch.setattr(bpe, "MAX_KEPT", 50)
+    bpe.kept_coder.cache_clear()
+    batches = [[" ".join("".join(rng.choice("abté.\n") for _ in range(rng.randrange(7))) for _ in range(80)) for _ in range(5)] for _ in range(12)]
+    got = [bpe.kept_coder(path, P.PATTERN)[0].encode(batch) for batch in batches]
+    assert len(reads) == 1
+    bpe.kept_coder.cache_clear()
+    fresh = bpe.coder(path, P.PATTERN)[0]
+    assert got == [fresh.encode(batch) for batch in batches]
