@@ -14,7 +14,7 @@ from elutra.operators import cluster, factors, fdr, features, network, pairs, sp
 from elutra.operators.components import components
 from elutra.plans import pipeline
 from elutra.plans.config import RunConfig
-from elutra.plans.stages import shared_folder
+from elutra.plans.stages import Rounds, shared_folder
 from elutra.sources import sinks, tables, validate
 
 MONTHS = 83  # months from January 1995 on that the line items span
@@ -383,7 +383,7 @@ def attach_profiles(spark, sf):
 
 @query
 def pair_ids(spark, sf):
-    x = pairs.correlated_pairs(vectors(spark, sf), 0.4)
+    x = Rounds(spark).keep(pairs.correlated_pairs(vectors(spark, sf), 0.4).select("a", "b"))
     return pairs.pair_table(x, pairs.decoy_pairs(vectors(spark, sf), x.count())).select("id", "a", "b", "mb")
 
 
@@ -391,7 +391,7 @@ def pair_ids(spark, sf):
 def pair_union(spark, sf):
     v = vectors(spark, sf)
     prior = v.select((F.col("key") - 1).alias("a"), F.col("key").alias("b"))
-    x = pairs.correlated_pairs(v, 0.4)
+    x = Rounds(spark).keep(pairs.correlated_pairs(v, 0.4).select("a", "b"))
     return pairs.pair_table(x, pairs.decoy_pairs(v, x.count()), pairs.prior_pairs(prior, v)).groupBy("a", "b", "is_decoy").agg(F.count("*").alias("n"))
 
 

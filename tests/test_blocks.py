@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -25,3 +27,19 @@ def test_pairs_of_several_tiles_within_groups(spark, monkeypatch):
     got = pairs.correlated_pairs(df, 0.1, 11, by="g").collect()
     assert sorted((row["g"], row["a"], row["b"]) for row in got) == want
     assert all(abs(row["r"] - r[int(row["a"][1:]), int(row["b"][1:])]) < 1e-12 for row in got)
+
+
+def test_draws_take_the_first_allowed_pair_of_their_hashes(spark, monkeypatch):
+    """Over several blocks and several rows of draws; no row lists all draws, and no draw is sent with profiles."""
+    monkeypatch.setattr(pairs, "CHUNK", 16)
+    x = np.random.default_rng(9).random((60, 9))
+    x[7] = 0.5
+    df = spark.createDataFrame([(f"k{i:02}", v.tolist()) for i, v in enumerate(x)], "key string, vals array<double>")
+    with np.errstate(all="ignore"):
+        r = np.corrcoef(x)
+    number = lambda *text: int(hashlib.md5(":".join(map(str, text)).encode()).hexdigest()[:15], 16) % 60
+    want = []
+    for draw in range(100):
+        tries = ((number(5, "i", draw, t), number(5, "j", draw, t)) for t in range(1000))
+        want.append((draw, *next((f"k{i:02}", f"k{j:02}") for i, j in tries if i != j and r[i, j] <= 0.2)))
+    assert sorted(tuple(row) for row in pairs.decoy_pairs(df, 100, 0.2, seed=5).select("draw", "a", "b").collect()) == want
