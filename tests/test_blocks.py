@@ -1,13 +1,15 @@
-"""All pairs by blocks: what is sent doesn't grow with the square of the table, and pairs are those of plain numpy."""
+"""All pairs by blocks, and null scores drawn by rows: what is sent or written doesn't grow with the square of the table; results are those of plain numpy."""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from elutra.operators import blocks, pairs
+from elutra.functions import md5
+from elutra.operators import blocks, pairs, specificity
 
 
 def test_profiles_are_sent_to_few_tasks(spark):
@@ -43,3 +45,30 @@ def test_draws_take_the_first_allowed_pair_of_their_hashes(spark, monkeypatch):
         tries = ((number(5, "i", draw, t), number(5, "j", draw, t)) for t in range(1000))
         want.append((draw, *next((f"k{i:02}", f"k{j:02}") for i, j in tries if i != j and r[i, j] <= 0.2)))
     assert sorted(tuple(row) for row in pairs.decoy_pairs(df, 100, 0.2, seed=5).select("draw", "a", "b").collect()) == want
+
+
+@pytest.mark.parametrize("near", [0.003, 1e-6])
+def test_null_cutoff_is_the_exact_quantile(spark, monkeypatch, near):
+    """Also where the place is not among the scores first put in order. Scores are drawn without a table of all of them."""
+    monkeypatch.setattr(specificity, "NEAR", near)
+    monkeypatch.setattr(specificity, "DRAWN", 700)
+    n, x = 1100, np.empty((301, 1100))
+    for row in range(301):
+        for j in range(n):
+            h = hashlib.md5(f"3:{row}:{j}".encode()).hexdigest()
+            u, v = ((int(h[k : k + 15], 16) + 0.5) / 2**60 for k in (0, 15))
+            x[row, j] = np.exp(np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v))
+    assert specificity.null_cutoff(spark, n, 300, 0.9, 3).first()[0] == pytest.approx(np.quantile(_scores(x), 0.9), rel=1e-12)
+    assert np.sort(specificity.null_scores(spark, 40, 2, 3).toPandas()["value"]) == pytest.approx(np.sort(_scores(x[:3, :40]).ravel()), rel=1e-12)
+
+
+def _scores(x):
+    n, m = x.shape[1], x.mean(axis=1, keepdims=True)
+    return x * np.maximum(1, np.sqrt(((x * x).sum(axis=1, keepdims=True) - n * m * m) / (n - 1)) / m)
+
+
+def test_md5_of_many_texts():
+    for prefix, first, last in (("0:3:", 0, 1101), ("12:10000:", 99990, 100020), ("0:7:", 9999999, 10000003)):
+        want = [hashlib.md5(f"{prefix}{j}".encode()).hexdigest() for j in range(first, last)]
+        high, low = md5.numbered(prefix, first, last)
+        assert high.tolist() == [int(x[:15], 16) for x in want] and low.tolist() == [int(x[15:30], 16) for x in want]
